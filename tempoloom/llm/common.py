@@ -133,3 +133,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         before = now
     tops = e.select(F.col("v").alias("u"), "v")
     return e.union(tops).groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
+
+
+def hash_sample(df: DataFrame, n: int, total: int) -> DataFrame:
+    """About n (at most) of total rows, by hash of doc_id; the same rows on every run."""
+    share = min(1.0, 1.2 * n / max(total, 1))
+    return df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("doc_id"), *df.columns).limit(n)

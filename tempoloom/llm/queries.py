@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempoloom.llm import decontaminate, exact_dedup, language_id, near_dedup, sentencepiece_codec
+from tempoloom.llm import decontaminate, exact_dedup, html_extract, language_id, near_dedup, quality, sentencepiece_codec, toxicity, url_reputation
 from tempoloom.llm.common import table
 
 
@@ -14,14 +14,30 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"))
 
@@ -32,8 +48,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_html_extract": op3_html_extract,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_url_reputation": op8_url_reputation,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_language_id": op10_language_id,
 }
@@ -45,4 +65,5 @@ ORACLE: dict[str, str] = {
                  row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS rn
           FROM documents WHERE text IS NOT NULL)
         WHERE rn > 1""",
+    "op8_url_reputation": url_reputation.SQL,
 }
