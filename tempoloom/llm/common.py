@@ -66,13 +66,13 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordB
 
 
 def name_sorted(df: DataFrame, keys: list[str], carry: list[str], repeated_only: bool = False) -> DataFrame:
-    """Integer names for equal keys, in the keys' order: range partitions are sorted and runs of equal keys counted.
+    """Integer names for equal keys: each partition, of whole key groups, is sorted by them and its runs of equal keys counted.
 
     ``_name`` is (partition << 40) + rank in it. With ``repeated_only``, only rows whose key occurs again stay.
-    The result must be checkpointed before it is used twice, since another execution may cut other ranges.
+    The result must be checkpointed before it is used twice, since another execution may join other partitions.
     """
     n = partitions(df.sparkSession)
-    ordered = df.select(*keys, *carry).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = df.select(*keys, *carry).repartition(n, *keys).sortWithinPartitions(*keys)
     schema = T.StructType([*[df.schema[c] for c in carry], T.StructField("_name", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +112,14 @@ def name_sorted(df: DataFrame, keys: list[str], carry: list[str], repeated_only:
     return ordered.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, comp)``, comp the least id of its component.
 
     Alternates large-star and small-star steps, each checkpointed, till the edge set stands still.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e, before = checkpoint(e), None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
