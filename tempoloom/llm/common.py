@@ -25,10 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the session names; a local one only where none is set."""
-    spark = df.sparkSession
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local one is set only where the session names none, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempoloom.llm import decontaminate, exact_dedup, html_extract, language_id, near_dedup, quality, sentencepiece_codec, toxicity, url_reputation
+from tempoloom.llm import decontaminate, exact_dedup, html_extract, language_id, near_dedup, quality, sentencepiece_codec, suffix_dedup, toxicity, url_reputation
 from tempoloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_html_extract": op3_html_extract,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
