@@ -77,9 +77,8 @@ def to_month(found: Column) -> Column:
     lower = F.lower(found)
     quarter = F.regexp_extract(lower, "^([0-9]{4})-?q([1-4])$", 2)
     year = F.regexp_extract(lower, "([0-9]{4})", 1)
-    named = F.lit(None).cast("string")
-    for k, name in reversed(list(enumerate(NAMES, 1))):
-        named = F.when(lower.startswith(name), F.format_string(f"%s-{k:02d}", year)).otherwise(named)
+    number = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.regexp_extract(lower, "^([a-z]+)", 1))
+    named = F.when(number > 0, F.format_string("%s-%02d", year, number))
     return F.coalesce(parse_month(F.substring(found, 1, 7)), F.when(quarter != "", F.format_string("%s-%02d", year, (F.nullif(quarter, F.lit("")).cast("int") * 3))), named)
 
 

@@ -17,7 +17,7 @@ SUPPORTED = ("txt", "md", "json", "pdf", "docx")
 
 
 def scan(spark: SparkSession, path: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """path, length, content, format of the supported files; a missing path is an error of Spark's."""
+    """path, file_size, content, file_format of the supported files. Spark lists no files of zero bytes; a missing path is its error."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return raw.select("path", F.col("length").alias("file_size"), "content", kind.alias("file_format")).filter(F.col("file_format").isin(*SUPPORTED))
@@ -77,7 +77,7 @@ def documents(files: DataFrame, pdf: Callable[[bytes], str] = no_pdf, docx: Call
     out = out.withColumn("error", F.coalesce("error", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", F.lit("empty file"))))
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     found = find_time(F.regexp_extract("path", r"([^/]+)$", 1), F.col("text"))
-    out = out.withColumns({"stem": stem, "time_found": found, "date": to_month(found)})
+    out = out.withColumns({"stem": stem, "time_found": found}).withColumn("date", to_month(F.col("time_found")))
     twice = out.groupBy("stem").agg(F.count("*").alias("_n"))
     out = out.join(twice, "stem").withColumn("doc_id", F.when(F.col("_n") > 1, F.concat_ws("_", "stem", F.substring(F.sha2("path", 256), 1, 8))).otherwise(F.col("stem")))
     return out.select(
