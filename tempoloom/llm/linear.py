@@ -11,7 +11,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def scores(weight: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """Linear scores of n rows given as (row, feature, value) entries; the last weight is the bias."""
-    return np.bincount(row, weight[feature] * value, n) + weight[-1]
+    return np.bincount(row, weight.astype(np.float32)[feature] * value, n) + weight[-1]
 
 
 def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, dim: int, sample_weight: np.ndarray | None = None, rounds: int = 150, rate: float = 0.3, l2: float = 1e-4) -> np.ndarray:
@@ -24,7 +24,7 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray,
     sw = sw / sw.sum()
     for t in range(1, rounds + 1):
         e = (sigmoid(scores(w, row, feature, value, n)) - y) * sw
-        g = np.append(np.bincount(feature, e[row] * value, dim), e.sum())
+        g = np.append(np.bincount(feature, e.astype(np.float32)[row] * value, dim), e.sum())
         g[:-1] += l2 * w[:-1]
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)

@@ -205,6 +205,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     picked = checkpoint(picked)
     rows = own.filter("text is not null").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "_wsl_toxic").collect()  # at most MINE_TOXIC + MINE_CLEAN ids
     lex = mine([t for t, y in rows if y], [t for t, y in rows if not y])
+    del rows
     shared = spark.sparkContext.broadcast(lex)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +233,12 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         w = words(texts)
         x = votes(lex, texts, w)
         r, f, val = features(texts, w, x)
-        parts.append((r + i, f, val, model.posterior(x.astype(np.int64))))
+        parts.append(((r + i).astype(np.int32), f.astype(np.int32), val.astype(np.float32), model.posterior(x.astype(np.int64))))
+    del rows
     if parts:
         r, f, val, y = (np.concatenate(x) for x in zip(*parts))
-        weight = fit(r, f, val, y, DIM + len(VOTERS), np.where(y >= 0.5, 1.0, 1.0))
+        del parts
+        weight = fit(r, f, val, y, DIM + len(VOTERS))
     else:
         weight = np.append(np.zeros(DIM + len(VOTERS)), -30.0)
     final = spark.sparkContext.broadcast((lex, weight.astype(np.float32), model))
