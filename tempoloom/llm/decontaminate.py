@@ -49,6 +49,7 @@ class Automaton:
     link: np.ndarray
     length: np.ndarray
     item: np.ndarray  # words of the shortest item that contains the state's runs
+    shorter: np.ndarray  # longest proper suffix, of a state on the way to the root, that is to be removed by itself
     grams: np.ndarray  # sorted hashes of the items' word triples
 
 
@@ -56,6 +57,11 @@ def triples(h: np.ndarray) -> np.ndarray:
     return mix(mix(h[:-2] + U(1)) ^ mix(h[1:-1] + U(2)) * U(3) ^ mix(h[2:] + U(3)) * U(5))
 
 
+def _bad(m, item):
+    """Whether a run of m words of an item of so many is to be removed."""
+    return (m >= MIN_WORDS) | ((m >= SHORT_WORDS) & (m >= COVERAGE * item))
+
+
 def build(items: list[np.ndarray]) -> Automaton:
     """items: word hashes of each."""
     vocabulary = np.unique(np.concatenate([*items, np.empty(0, U)]))
@@ -103,10 +109,14 @@ def build(items: list[np.ndarray]) -> Automaton:
             item[s] = min(item[s], len(words_))
     for s in sorted(range(1, len(step)), key=lambda s: -length[s]):
         item[link[s]] = min(item[link[s]], item[s])
+    shorter = [0] * len(step)
+    for s in sorted(range(1, len(step)), key=lambda s: length[s]):
+        a = link[s]
+        shorter[s] = length[a] if a and _bad(length[a], item[a]) else shorter[a]
     rows = [(s * len(vocabulary) + c, t) for s, x in enumerate(step) for c, t in x.items()]
     key, to = np.array(sorted(rows), np.int64).reshape(-1, 2).T
     grams = np.unique(np.concatenate([*(triples(x) for x in items if len(x) > 2), np.empty(0, U)]))
-    return Automaton(vocabulary, np.ascontiguousarray(key), np.ascontiguousarray(to), np.array(link), np.array(length), np.array(item), grams)
+    return Automaton(vocabulary, np.ascontiguousarray(key), np.ascontiguousarray(to), np.array(link), np.array(length), np.array(item), np.array(shorter), grams)
 
 
 def found(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +142,8 @@ def stretches(a: Automaton, w: Words, bits: np.ndarray) -> tuple[np.ndarray, np.
     return first[long], last[long]
 
 
-def matches(a: Automaton, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, longest match that ends there, words of the shortest item that has it) for each word of the stretches."""
+def matches(a: Automaton, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, longest match that ends there and is to be removed, or 0) for each word of the stretches."""
     order = np.argsort(first - last, kind="stable")
     first, size = first[order], (last - first + 1)[order]
     state, length = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
@@ -155,14 +165,14 @@ def matches(a: Automaton, h: np.ndarray, first: np.ndarray, last: np.ndarray) ->
             todo = todo[~todo_root]
             s[todo] = a.link[s[todo]]
             m[todo] = a.length[s[todo]]
-        out.append((first[:n] + j, m.copy(), a.item[s]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3  # type: ignore[return-value]
+        out.append((first[:n] + j, np.where(_bad(m, a.item[s]), m, a.shorter[s])))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2  # type: ignore[return-value]
 
 
 def spans(a: Automaton, w: Words, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, last word, longest match) of the merged spans to remove, in order."""
-    at, m, item = matches(a, w.hash, *stretches(a, w, bits))
-    bad = (m >= MIN_WORDS) | ((m >= SHORT_WORDS) & (m >= COVERAGE * item))
+    at, m = matches(a, w.hash, *stretches(a, w, bits))
+    bad = m > 0
     return merged(at[bad] - m[bad] + 1, at[bad], m[bad])
 
 
@@ -258,17 +268,17 @@ def _cleaned(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
 def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = [np.frombuffer(x, np.int64).reshape(3, -1) for x in batch.column(batch.schema.get_field_index("_gsa_spans")).to_pylist()]
-        lists = pa.array([[{"first": int(a), "last": int(b)} for a, b in zip(x[0], x[1])] for x in marks], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+        lists = pa.array([",".join(f"{a}-{b}" for a, b in zip(x[0], x[1])) for x in marks], pa.string())
         longest = pa.array([int(x[2].max()) for x in marks], pa.int64())
         col = lambda c: batch.column(batch.schema.get_field_index(c))
         yield pa.RecordBatch.from_arrays([col("doc_id"), longest, lists, col("_gsa_words"), col("_gsa_gone"), col("_gsa_text")], names=["doc_id", "longest", "spans", "words", "removed", "clean_text"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document with spans: longest match, spans (word numbers), words, removed words, dropped, clean_text."""
+    """One row for each document with spans: longest match, spans (first-last word, by commas), words, removed words, dropped, clean_text."""
     hit = _cleaned(docs.select("doc_id", "text"), benchmark)[1]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = hit.mapInArrow(_findings, f"doc_id {kind}, longest long, spans array<struct<first:long,last:long>>, words long, removed long, clean_text string")
+    out = hit.mapInArrow(_findings, f"doc_id {kind}, longest long, spans string, words long, removed long, clean_text string")
     return out.withColumn("dropped", F.col("removed") >= DROP_SHARE * F.col("words"))
 
 
@@ -292,3 +302,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if length in ("int", "bigint"):
         done = done.withColumn("n_chars", F.when(F.col("_gsa_spans").isNotNull(), F.length("_gsa_text").cast(length)).otherwise(F.col("n_chars")))
     return done.withColumn("text", F.col("_gsa_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+_WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
+_WORDS = f"regexp_extract_all(lower(text), '{_WORD}+')"
+#: An item's runs of k words mark words, k being the least number that is removed; the marks are those of all its longer runs.
+SQL = f"""
+WITH items AS (SELECT DISTINCT w, least({MIN_WORDS}, greatest({SHORT_WORDS}, ceil(len(w) * 0.8 - 1e-9)))::BIGINT AS k FROM (SELECT {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) >= {SHORT_WORDS}),
+item_grams AS (SELECT row_number() OVER () AS item, k, w FROM items),
+grams AS (SELECT item, k, p, array_to_string(w[p + 1 : p + k], ' ') AS gram FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM item_grams)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+hits AS (SELECT r, i, p, item, x.k FROM (SELECT r, k, i, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM (SELECT r, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM docs, (SELECT DISTINCT k FROM items))) x JOIN grams g ON g.k = x.k AND g.gram = x.gram),
+islands AS (SELECT r, item, k, i, p, i - row_number() OVER (PARTITION BY r, item, i - p ORDER BY i) AS island FROM hits),
+runs AS (SELECT r, min(i) AS first, max(i) + k - 1 AS last FROM islands GROUP BY r, item, k, i - p, island),
+ordered AS (SELECT *, max(last) OVER (PARTITION BY r ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runs),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR first > before THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS span FROM ordered),
+spans AS (SELECT r, span, min(first) AS first, max(last) AS last, max(last - first + 1) AS longest FROM numbered GROUP BY r, span),
+found AS (SELECT r, max(longest) AS longest, string_agg(first || '-' || last, ',' ORDER BY first) AS spans, sum(last - first + 1)::BIGINT AS removed FROM spans GROUP BY r),
+pieces AS (SELECT r, regexp_extract_all(text, '(?s)[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]*{_WORD}+') AS ps, regexp_extract(text, '(?s)[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]*$') AS tail FROM docs WHERE r IN (SELECT r FROM found)),
+piece AS (SELECT r, tail, i, ps[i + 1] AS t FROM (SELECT *, unnest(range(0, len(ps))) AS i FROM pieces)),
+cut AS (SELECT piece.r, tail, i, CASE WHEN s.r IS NULL THEN t WHEN i = first THEN regexp_replace(t, '{_WORD}+$', '') ELSE '' END AS t FROM piece LEFT JOIN spans s ON s.r = piece.r AND i BETWEEN first AND last),
+clean AS (SELECT r, string_agg(t, '' ORDER BY i) || any_value(tail) AS clean_text FROM cut GROUP BY r)
+SELECT doc_id, longest, spans, len(w)::BIGINT AS words, removed, clean_text, removed >= {DROP_SHARE} * len(w) AS dropped FROM found JOIN docs USING (r) JOIN clean USING (r)"""

@@ -64,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op2_suffix_array_dedup": suffix_dedup.SQL,
     "op7_exact_dedup": """
         SELECT keep_id, doc_id FROM (
           SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id,

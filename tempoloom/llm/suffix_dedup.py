@@ -512,3 +512,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     out = checkpoint(store.each().mapInArrow(read, schema).union(given.mapInArrow(counted, schema)))
     store.clear()
     return out
+
+
+#: The same by all windows of SPAN words.
+SQL = f"""
+WITH copies AS (SELECT doc_id, keep_id, text FROM (SELECT DISTINCT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS keep_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE doc_id <> keep_id),
+reps AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND (doc_id, text) NOT IN (SELECT (doc_id, text) FROM copies)),
+wins AS (SELECT doc_id, text, i, md5(array_to_string(w[i + 1 : i + {SPAN}], ' ')) AS k FROM (SELECT *, unnest(range(0, len(w) - {SPAN} + 1)) AS i FROM reps)),
+firsts AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(text) OVER o AS kt, first_value(i) OVER o AS ki FROM wins WINDOW o AS (PARTITION BY k ORDER BY doc_id, md5(text), i)),
+marked AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, text, kd, kt, ki - i ORDER BY i) AS island FROM firsts WHERE (doc_id, text, i) <> (kd, kt, ki))
+SELECT doc_id, min(i) AS first, max(i) + {SPAN - 1} AS last, kd AS keep_id, min(ki) AS keep_first FROM marked GROUP BY doc_id, text, kd, kt, ki - i, island
+UNION ALL SELECT doc_id, 0, len(w) - 1, keep_id, 0 FROM (SELECT *, regexp_extract_all(lower(text), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM copies) WHERE len(w) >= {SPAN}"""

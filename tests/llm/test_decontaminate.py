@@ -53,11 +53,19 @@ def test_longest_matches_agree_with_brute_force(spark):
         texts, items = corpus(seed)
         docs = spark.createDataFrame([(i, t, 1, "x", len(t)) for i, t in enumerate(texts)], SCHEMA)
         bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
-        got = {r.doc_id: {k for s in r.spans for k in range(s["first"], s["last"] + 1)} for r in D.contaminated(docs, bench).collect()}
+        got = {r.doc_id: {k for s in r.spans.split(",") for k in range(int(s.split("-")[0]), int(s.split("-")[1]) + 1)} for r in D.contaminated(docs, bench).collect()}
         want = {i: x for i, x in enumerate(brute(texts, items)) if x}
         assert got == want
 
 
+def test_a_short_item_inside_a_longer_match(spark):
+    short, long = "a b c d e f", "x y z a b c d e q " + " ".join(f"k{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "one x y z a b c d e r two", 1, "x", 1)], SCHEMA)
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    assert [tuple(r)[:5] for r in D.contaminated(docs, bench).collect()] == [(1, 5, "4-8", 11, 5)]
+    assert brute(["one x y z a b c d e r two"], [short, long]) == [set(range(4, 9))]
+
+
 def test_several_automata_give_the_same(spark, monkeypatch):
     texts, items = corpus(9)
     docs = spark.createDataFrame([(i, t, 1, "x", len(t)) for i, t in enumerate(texts)], SCHEMA)
