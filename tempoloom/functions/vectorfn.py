@@ -71,3 +71,11 @@ def embedder(encode=hashed):
         return texts.map(lambda t: None if t is None else [float(x) for x in encode(t)])
 
     return embed
+
+
+def dimension(encode=hashed, default: int = 384) -> int:
+    """Length of the vectors that an encoder gives; the default where it gives none."""
+    try:
+        return len(encode("test")) or default
+    except Exception:  # noqa: BLE001 - an encoder that isn't there has no dimension of its own
+        return default

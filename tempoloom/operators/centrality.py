@@ -168,3 +168,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not new.join(label, ["node_id", "component"], "left_anti").limit(1).count():
             return new
         label = new
+
+
+def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(components, is_connected) in the weak sense; an empty graph isn't connected."""
+    return components(nodes, edges).agg(F.count_distinct("component").alias("components")).withColumn("is_connected", F.col("components") == 1)

@@ -74,3 +74,11 @@ def joined(entities: str, relations: str, chunks: str) -> str:
 
 def time_line(months: list[str]) -> str:
     return f"Analysis limited to time period: {', '.join(months)}" if months else ""
+
+
+def estimate(entities: DataFrame, relations: DataFrame, chunks: DataFrame, base_tokens: int = 0) -> DataFrame:
+    """Tokens of the sections if nothing is cut: entities, relations, chunks, total. relations have source and target names."""
+    none = 1 << 60
+    parts = [entity_lines(entities, none, none), relation_lines(relations, none, none), chunks.withColumn("tokens", token_count(F.col("content")))]
+    a, b, c = (p.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias(n)) for p, n in zip(parts, ("entities", "relations", "chunks")))
+    return a.crossJoin(b).crossJoin(c).withColumn("total", F.col("entities") + F.col("relations") + F.col("chunks") + base_tokens)

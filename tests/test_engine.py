@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempoloom import ChunkParams, Engine, QueryParams
+from tempoloom.functions.vectorfn import dimension
 from tempoloom.plans import context
 from tempoloom.sources import extract, files, workspace
 from tempoloom.streaming.merge import append_mentions
@@ -130,6 +131,14 @@ def test_budgets():
     assert context.joined("", "", "") == context.EMPTY and context.joined("e", "", "c") == "### Entities\ne\n\n### Document Chunks\nc"
 
 
+def test_estimate(engine, spark):
+    n = engine.tables["nodes"].withColumn("score", F.lit(1.0))
+    r = engine.tables["edges"].withColumns({"score": F.lit(1.0), "type": F.lit("t"), "source": F.col("src"), "target": F.col("dst")})
+    x = context.estimate(n, r, engine.tables["chunks"], 7).first()
+    assert x.total == x.entities + x.relations + x.chunks + 7 and x.chunks == sum(len(t) // 4 for t in TEXTS.values())
+    assert dimension() == 64 and dimension(lambda t: None) == 384
+
+
 def test_stream(spark, tmp_path):
     schema = "doc_id string, content string, date string, doc_ord long, chunk_index int, chunk_id string"
     src = tmp_path / "src"

@@ -110,6 +110,7 @@ def test_components_and_degree(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "node_id string")
     edges = spark.createDataFrame([("b", "a"), ("b", "c"), ("e", "d"), ("e", "d")], "src string, dst string")
     assert {r.node_id: r.component for r in centrality.components(nodes, edges).collect()} == dict(zip("abcdef", "aaaddf"))
+    assert tuple(centrality.connectivity(nodes, edges).first()) == (3, False)
     assert {r.node_id: r.degree for r in centrality.degree(nodes, edges).collect()}["e"] == pytest.approx(0.4)
 
 
