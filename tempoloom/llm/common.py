@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -16,7 +17,13 @@ from pyspark.sql import types as T
 #: A join side is broadcast only if it has at most so many rows (of a few longs); beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Python workers cut Arrow batches into slices of about so many bytes of text (a longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 1 << 20)  # arrays of a megabyte or more are mapped, so that they are given back when freed
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +58,11 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> D
     return big.join(side, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
-def slices(nbytes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES each."""
+def slices(nbytes: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many bytes each."""
     first, total = 0, 0
     for i, n in enumerate(nbytes.tolist()):
-        if total and total + n > SLICE_BYTES:
+        if total and total + n > size:
             yield first, i
             first, total = i, 0
         total += n
@@ -63,11 +70,20 @@ def slices(nbytes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, len(nbytes)
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def text_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Pieces of an Arrow batch with their texts as large strings, nulls as empty ones."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
-    for a, b in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+    for a, b in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), size):
         yield batch.slice(a, b - a), texts.slice(a, b - a)
+    del texts
+    release()
+
+
+def release() -> None:
+    """Give what a batch needed back to the system, as Python workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def name_sorted(df: DataFrame, keys: list[str], carry: list[str], repeated_only: bool = False) -> DataFrame:

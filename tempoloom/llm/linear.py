@@ -5,13 +5,20 @@ from __future__ import annotations
 import numpy as np
 
 
+BLOCK = 1 << 20  # entries that are worked on at once
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def scores(weight: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """Linear scores of n rows given as (row, feature, value) entries; the last weight is the bias."""
-    return np.bincount(row, weight.astype(np.float32)[feature] * value, n) + weight[-1]
+    w, out = weight.astype(np.float32), np.full(n, float(weight[-1]))
+    for a in range(0, len(row), BLOCK):
+        at = slice(a, a + BLOCK)
+        out += np.bincount(row[at], w[feature[at]] * value[at], n)
+    return out
 
 
 def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, dim: int, sample_weight: np.ndarray | None = None, rounds: int = 150, rate: float = 0.3, l2: float = 1e-4) -> np.ndarray:
@@ -24,7 +31,10 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray,
     sw = sw / sw.sum()
     for t in range(1, rounds + 1):
         e = (sigmoid(scores(w, row, feature, value, n)) - y) * sw
-        g = np.append(np.bincount(feature, e.astype(np.float32)[row] * value, dim), e.sum())
+        e32, g = e.astype(np.float32), np.append(np.zeros(dim), e.sum())
+        for a in range(0, len(row), BLOCK):
+            at = slice(a, a + BLOCK)
+            g[:-1] += np.bincount(feature[at], e32[row[at]] * value[at], dim)
         g[:-1] += l2 * w[:-1]
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)

@@ -180,9 +180,11 @@ def score_all(docs: DataFrame, labels: DataFrame, min_quality: float = MIN_QUALI
     own = docs.select("doc_id", "text", *[(F.col(c).cast("string") if c in kinds else F.lit(None).cast("string")).alias(c) for c in ("source", "lang")], number.alias("n_chars"))
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("_cot_y")).filter("low = _cot_y").drop("low")
     picked = checkpoint(hash_sample(known, LABELLED, known.count()))
-    rows = own.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "text").select("text", "source", "lang", "n_chars", "_cot_y").collect()  # at most LABELLED ids
+    rows = own.join(F.broadcast(picked), "doc_id").select("text", "source", "lang", "n_chars", "_cot_y", F.xxhash64("doc_id").alias("h")).collect()  # at most LABELLED ids
+    rows.sort(key=lambda r: (r[5], r[0] or "", r[0] is None, r[4]))  # here, as a sort in Spark would sample texts for its ranges
     pool_ids = checkpoint(hash_sample(own.select("doc_id").filter("doc_id is not null"), POOL, docs.count()))
-    pool = own.join(F.broadcast(pool_ids.join(picked, "doc_id", "left_anti").distinct()), "doc_id").orderBy("doc_id", "text").select("text", "source", "lang", "n_chars").collect()
+    pool = own.join(F.broadcast(pool_ids.join(picked, "doc_id", "left_anti").distinct()), "doc_id").select("text", "source", "lang", "n_chars", "doc_id").collect()
+    pool.sort(key=lambda r: (r[4], r[0] or "", r[0] is None))
     model = cotrain(_views(rows), np.array([r[4] for r in rows], float), _views(pool), len(pool))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

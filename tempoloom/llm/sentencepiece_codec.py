@@ -32,6 +32,8 @@ from tempoloom.llm.tokens import buffers, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
+PART = 1 << 16  # bytes of words whose lattice is searched at once
+SLICE = 1 << 19  # bytes of text that are encoded at once
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 
@@ -219,6 +221,21 @@ def _viterbi(m: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return ids, np.bincount(owner[b], count, len(start)).astype(np.int64)
 
 
+def _in_parts(m: Model, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_viterbi over spans packed into parts of about PART bytes, so that the lattice stays small."""
+    part = (np.cumsum(size) - size) // PART
+    bounds = np.flatnonzero(np.diff(part)) + 1
+    ids, counts = [], []
+    for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(start)]):
+        n = size[a:b]
+        begin = np.cumsum(n) - n
+        packed = data[np.repeat(start[a:b] - begin, n) + np.arange(n.sum())]
+        x, c = _viterbi(m, packed, begin, begin + n)
+        ids.append(x)
+        counts.append(c)
+    return np.concatenate(ids), np.concatenate(counts)
+
+
 def encode(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets) for a large-string array without nulls."""
     texts = pc.replace_substring(texts, MARKER, " ")
@@ -240,7 +257,7 @@ def encode(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     same = np.arange(len(data)) + np.repeat(start[first][which] - start, size)
     if not (np.array_equal(size, size[first][which]) and np.array_equal(data[same], data)):  # hashes met
         first, which = np.arange(len(start)), np.arange(len(start))
-    ids, count = _viterbi(m, data, start[first], end[first])
+    ids, count = _in_parts(m, data, start[first], size[first])
     begin = np.cumsum(count) - count
     n_ids = count[which]
     flat = np.repeat(begin[which], n_ids) + np.arange(n_ids.sum()) - np.repeat(np.cumsum(n_ids) - n_ids, n_ids)
@@ -274,7 +291,7 @@ def encoded(docs: DataFrame, path: str = MODEL, with_text: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
+            for rows, texts in text_slices(batch, "text", SLICE):
                 ids, offsets = encode(m, texts)
                 back = decode(m, ids, offsets)
                 null = np.array(rows.column(rows.schema.get_field_index("text")).is_null())

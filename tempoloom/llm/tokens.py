@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW.get("p", ())) < n + 1:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 19)
         for k, base in (("p", _P), ("q", pow(_P, -1, 2**64))):
             a = np.full(size, base, U)
             a[0] = 1

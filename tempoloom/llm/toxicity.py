@@ -203,8 +203,9 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     size = {r[0]: r[1] for r in known.groupBy("_wsl_toxic").count().collect()}
     picked = hash_sample(known.filter("_wsl_toxic = 1"), MINE_TOXIC, size.get(1, 0)).union(hash_sample(known.filter("_wsl_toxic = 0"), MINE_CLEAN, size.get(0, 0)))
     picked = checkpoint(picked)
-    rows = own.filter("text is not null").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "_wsl_toxic").collect()  # at most MINE_TOXIC + MINE_CLEAN ids
-    lex = mine([t for t, y in rows if y], [t for t, y in rows if not y])
+    rows = own.filter("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_wsl_toxic").collect()  # at most MINE_TOXIC + MINE_CLEAN ids
+    rows.sort()  # here, as a sort in Spark would sample texts for its ranges
+    lex = mine([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
     del rows
     shared = spark.sparkContext.broadcast(lex)
 
@@ -226,10 +227,11 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     total = sum(r[1] for r in counts)
     one, other = cast.filter(F.col("pattern").isin(likely)), cast.filter(~F.col("pattern").isin(likely))
     chosen = checkpoint(hash_sample(one, TRAIN_TOXIC, n).union(hash_sample(other, TRAIN_CLEAN, total - n)).select("doc_id").distinct())
-    rows = own.filter("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text").collect()
+    rows = own.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text").collect()
+    rows.sort()
     parts = []
     for i in range(0, len(rows), 500):
-        texts = large([r[0] for r in rows[i : i + 500]])
+        texts = large([r[1] for r in rows[i : i + 500]])
         w = words(texts)
         x = votes(lex, texts, w)
         r, f, val = features(texts, w, x)
