@@ -1,22 +1,23 @@
 """HTML text extraction with removal of site templates.
 
 Every element's subtree is hashed (tag, attributes, text and the hashes of its children). Spark counts, for each host,
-the pages that hold each hash. Subtrees found on MIN_PAGES pages or more and on MIN_SHARE of the host's pages are its
-template and are deleted; the rest of the page becomes text, a line for each block.
+the distinct pages that hold each hash. Subtrees found on MIN_PAGES pages or more are its template and are deleted,
+whatever share of the host's pages that is; the rest of the page becomes text, a line for each block.
 
-A host has at most 1 / MIN_SHARE times as many template hashes as its pages have elements on average, so the list that
-each page gets is bounded. The lists are broadcast only if they hold LIST_ROWS hashes at most in all; beyond that pages
-and lists are joined by a shuffle.
+A page gets only those template hashes that it holds itself, so its list is no longer than its elements: (host, hash) is
+joined to the hashes of the pages, and what is left of them to the pages by a shuffle, in which every page travels
+deflated. The first join broadcasts the templates only if they are LIST_ROWS at most.
 
 Defined results: a null page has null text, an empty one has empty text; pages with a null url or one without a host
 share the host ''; html, head and body themselves are never deleted; scripts, styles, comments and the head aren't text;
-unclosed elements end with their parent, stray end tags are skipped; a page that is given again counts as a page again,
-but a subtree that recurs within one page counts once. An empty table gives no rows. Other columns are ignored.
+unclosed elements end with their parent, stray end tags are skipped; rows of one host with equal page_id and html count
+as one page, and a subtree that recurs within one page counts once. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from tempoloom.llm.common import checkpoint
 from tempoloom.llm.url_reputation import host
 
-MIN_PAGES, MIN_SHARE = 5, 0.1
+MIN_PAGES = 5
+MIN_SHARE = 0.0  # of the host's pages: none is asked for
 LIST_ROWS = 1_000_000
 ATTRS = r"""(?:[^"'>]|"[^"]*"|'[^']*')*"""
 TOKEN = re.compile(rf"([^<]+)|<(/?)([a-zA-Z][^\s/>]*)({ATTRS})>|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<", re.S)
@@ -121,49 +123,60 @@ def parse(html: str, drop: frozenset[int] | set[int] = frozenset(), hashes: set[
     return "\n".join(x for x in lines if x), removed
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, hash, on, pages): the template subtrees of each host."""
-    own = pages.select(host(F.col("url")).alias("host"), "html")
+def _with_keys(pages: DataFrame, *columns: str) -> DataFrame:
+    """The columns, the host, and a hash that is equal for rows that are one page."""
+    return pages.select(*columns, host(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("page"))
+
+
+def held(pages: DataFrame) -> DataFrame:
+    """(host, page, hash): the subtrees of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found, ends = batch.column(0), [], [0]
-            for x in batch.column(1).to_pylist():
+            found, ends = [], [0]
+            for x in batch.column(0).to_pylist():
                 seen: set[int] = set()
                 if x is not None:
                     parse(x, hashes=seen)
                 found.append(np.fromiter(seen, np.int64, len(seen)))
                 ends.append(ends[-1] + len(seen))
-            rows = np.repeat(np.arange(len(found)), np.diff(ends))
-            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(rows)), pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], names=["host", "hash"])
+            rows = pa.array(np.repeat(np.arange(len(found)), np.diff(ends)))
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], names=["host", "page", "hash"])
+
+    return _with_keys(pages, "html").mapInArrow(run, "host string, page long, hash long")
+
+
+def _packed(pages: DataFrame) -> DataFrame:
+    """(page_id, host, page, packed): the pages with their html deflated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [None if x is None else zlib.compress(x, 3) for x in batch.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["page_id", "host", "page", "packed"])
+
+    own = _with_keys(pages, "page_id", "html").select("page_id", "host", "page", "html")
+    return own.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, page long, packed binary")
+
 
-    on = own.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("on")).filter(F.col("on") >= MIN_PAGES)
-    pages_of = own.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
-    return on.join(pages_of, "host").filter(F.col("on") >= MIN_SHARE * F.col("pages")).select("host", "hash", "on", "pages")
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash, on): the template subtrees of each host, and the number of pages they are on."""
+    return held(pages).groupBy("host", "hash").agg(F.count_distinct("page").alias("on")).filter(F.col("on") >= min_pages)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, text, removed (deleted subtrees) of every page."""
-    found = checkpoint(templates(pages))
-    lists = found.groupBy(F.col("host").alias("_tpl_host")).agg(F.collect_list("hash").alias("_tpl_drop"))
+    found = checkpoint(templates(pages, min_pages).select("host", "hash"))
     if found.limit(LIST_ROWS + 1).count() <= LIST_ROWS:
-        lists = F.broadcast(lists)
-    own = pages.select("page_id", host(F.col("url")).alias("host"), "html")
-    given = own.join(lists, own.host == F.col("_tpl_host"), "left").select("page_id", "html", "_tpl_drop")
+        found = F.broadcast(found)
+    lists = held(pages).join(found, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("_tpl_drop"))
+    given = _packed(pages).join(lists, ["host", "page"], "left").select("page_id", "packed", "_tpl_drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drops = batch.column(2)
-            texts, removed, last, drop = [], [], None, frozenset()
+            texts, removed, drops = [], [], batch.column(2)
             for i, x in enumerate(batch.column(1).to_pylist()):
                 d = drops[i]
-                if not d.is_valid:
-                    drop, last = frozenset(), None
-                else:
-                    values = d.values.to_numpy()
-                    if last is None or not np.array_equal(values, last):
-                        drop, last = frozenset(values.tolist()), values
-                text, n = (None, 0) if x is None else parse(x, drop)
+                text, n = (None, 0) if x is None else parse(zlib.decompress(x).decode(), frozenset(d.values.to_numpy().tolist()) if d.is_valid else frozenset())
                 texts.append(text)
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "text", "removed"])

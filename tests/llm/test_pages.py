@@ -71,6 +71,16 @@ def test_shuffled_lists_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, H.extract(pages).collect())) == want and want[0][1] == "Head 0\nOne 0 & two"
 
 
+def test_templates_of_a_small_share_go_and_a_page_given_again_stays(spark):
+    rows = [(i, f"https://big.example.com/{i}", page(f"<nav><ul><li>item {i // 5}</li></ul></nav>", str(i)), None, None) for i in range(100)]
+    rows += [(200, "https://big.example.com/200", page("<nav>own menu</nav>", "again"), None, None)] * 6
+    pages = spark.createDataFrame(rows, SCHEMA)
+    text = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert text == {i: f"Head {i}\nOne {i} & two" for i in range(100)} | {200: "own menu\nHead again\nOne again & two"}
+    kept = {r.page_id: r.text for r in H.extract(pages, min_pages=6).collect()}
+    assert all(kept[i] == f"item {i // 5}\nHead {i}\nOne {i} & two" for i in range(100))
+
+
 def test_reputation_against_sql(spark):
     hosts = ["a.example.com", "WWW.b.co.uk", "10.0.0.1", "spam.example.com", "localhost", "x.y.z.org."]
     rows = [(i, f"https://u@{hosts[i % 6]}:80/p?{i}" if i % 7 else f"http://{hosts[i % 6]}", "h", "q", 0.5) for i in range(120)]
