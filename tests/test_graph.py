@@ -2,9 +2,11 @@ import itertools
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tempoloom import queries
 from tempoloom.operators import centrality, filters, graph, knn, ranking
 
 M = "name string, type string, description string, source_doc_id string, chunk_id string, date string, doc_ord long, ord long"
@@ -134,3 +136,20 @@ def test_knn(spark):
     up = spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "vec_id long, t string, o int")
     assert knn.latest(up, "vec_id", "o").first().t == "new"
     assert v.filter(filters.equal_to({"label": "x", "vec_id": 1})).count() == 1 and v.filter(filters.equal_to(None)).count() == 5 and F is not None
+
+
+def test_every_row_finds_nine_of_ten_neighbors(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    v = {r.vec_id: np.array(r.embedding, np.float64) for r in queries.t(spark, sf, "embeddings").collect()}
+    want = {i: sorted((round(float(((x - y) ** 2).sum()), 9), j) for j, y in v.items() if j != i)[:10] for i, x in v.items()}
+    got = defaultdict(set)
+    for r in queries.QUERIES["knn_inverted_lists"](spark, sf).collect():
+        got[r.vec_id].add(r.neighbor)
+    assert set(got) == set(v) and all(len(x) == 10 for x in got.values())
+    assert sum(len(got[i] & {j for _, j in w}) for i, w in want.items()) >= 0.9 * 10 * len(v)
+    monkeypatch.setattr(knn, "BLOCK", 40)  # every list and several blocks: exact
+    listed, centroids = knn.inverted_lists(queries.t(spark, sf, "embeddings"), 5)
+    exact = defaultdict(list)
+    for r in knn.neighbors(listed, centroids, 10, 5).orderBy("vec_id", "place").collect():
+        exact[r.vec_id].append((round(r.score, 9), r.neighbor))
+    assert exact == want
