@@ -153,3 +153,16 @@ def test_every_row_finds_nine_of_ten_neighbors(spark, monkeypatch):
     for r in knn.neighbors(listed, centroids, 10, 5).orderBy("vec_id", "place").collect():
         exact[r.vec_id].append((round(r.score, 9), r.neighbor))
     assert exact == want
+
+
+def test_endpoints_are_looked_up_among_all_mentions(spark, built):
+    nodes, relations, _ = built
+    late = nodes.withColumn("first_doc_ord", F.when(F.col("name") == "Pear", F.lit(2)).otherwise(F.col("first_doc_ord")))
+    assert sorted(r.ord for r in graph.accepted_relations(relations, late).collect()) == [1, 2, 3]
+    assert sorted(r.ord for r in graph.accepted_relations(relations, late, strict=True).collect()) == [2, 3]
+    assert sorted(r.ord for r in graph.rejected_relations(relations, nodes).collect()) == [4, 5]
+    found = {(r.rule, r.subject) for r in graph.validation(nodes, graph.merge_edges(relations)).collect()}
+    assert ("missing_node", "Nobody__2024-01") in found and ("missing_node", "Apple__2024-01") not in found
+    sf = "/root/testdata/sf0.001"
+    assert sum(r.n for r in queries.QUERIES["relation_endpoint_check_all"](spark, sf).collect()) == queries.t(spark, sf, "orders").count()
+    assert queries.QUERIES["rejected_relations_all"](spark, sf).count() == 0
