@@ -572,6 +572,31 @@ def chunk_budget_context(spark, sf_dir):
     return context.chunk_lines(c, 1200).select("chunk_id", "line", "running")
 
 
+# both over the chunks that a search of the whole table finds; the SQL of those over four documents stays as it is
+
+SHARE = " + ".join(f"contains(lower(content), '{w.lower()}')::INT" for w in WORDS)
+FOUND = f"{CH.split(', pr AS')[0]}, pr AS (SELECT chunk_id, content FROM ch ORDER BY {SHARE} DESC, chunk_id LIMIT 10)"
+
+
+def found_chunks(spark, sf_dir):
+    return dated_chunks(spark, sf_dir).withColumn("score", textfn.match_share(F.col("content"), WORDS)).orderBy(F.desc_nulls_last("score"), "chunk_id").limit(10)
+
+
+@query(f"""WITH {FOUND} SELECT chunk_id, md5(content) AS digest, true AS is_primary FROM pr
+  UNION ALL SELECT * FROM (SELECT chunk_id, md5(content), false FROM ch WHERE regexp_extract(chunk_id, '([0-9]{{4}}-[0-9]{{2}})', 1) IN ('2024-03', '2024-07') AND chunk_id NOT IN (SELECT chunk_id FROM pr) ORDER BY chunk_id LIMIT 3)""")
+def chunk_lookup_found(spark, sf_dir):
+    c, found = dated_chunks(spark, sf_dir), found_chunks(spark, sf_dir).select("chunk_id", "score")
+    primary = retrieve.primary_chunks(c, found, found)
+    more = retrieve.supplementary_chunks(c, primary, ["2024-03", "2024-07"])
+    return primary.select("chunk_id", F.md5("content").alias("digest"), F.lit(True).alias("is_primary")).union(more.select("chunk_id", F.md5("content"), F.lit(False)))
+
+
+@query(f"""WITH {FOUND}, n AS (SELECT *, row_number() OVER (ORDER BY chunk_id) AS i FROM pr), l AS (SELECT chunk_id, i, '**Chunk ' || i || ':** ' || CASE WHEN length(content) // 4 > 120 THEN substring(content, 1, 480) || '...' ELSE content END AS line FROM n)
+  SELECT chunk_id, line, running::BIGINT AS running FROM (SELECT *, sum(length(line) // 4) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS running FROM l) WHERE running <= 1200""")
+def chunk_budget_context_found(spark, sf_dir):
+    return context.chunk_lines(found_chunks(spark, sf_dir), 1200).select("chunk_id", "line", "running")
+
+
 # --- answers of models, and JSON
 
 

@@ -166,3 +166,13 @@ def test_endpoints_are_looked_up_among_all_mentions(spark, built):
     sf = "/root/testdata/sf0.001"
     assert sum(r.n for r in queries.QUERIES["relation_endpoint_check_all"](spark, sf).collect()) == queries.t(spark, sf, "orders").count()
     assert queries.QUERIES["rejected_relations_all"](spark, sf).count() == 0
+
+
+def test_chunks_are_looked_up_in_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    text = {r.chunk_id: r.content.lower() for r in queries.dated_chunks(spark, sf).collect()}
+    best = sorted(text, key=lambda c: (-sum(w.lower() in text[c] for w in queries.WORDS), c))[:10]
+    got = queries.QUERIES["chunk_lookup_found"](spark, sf).collect()
+    assert {r.chunk_id for r in got if r.is_primary} == set(best) and sum(not r.is_primary for r in got) == 3
+    lines = sorted(queries.QUERIES["chunk_budget_context_found"](spark, sf).collect(), key=lambda r: r.running)
+    assert [r.chunk_id for r in lines] == sorted(best)[: len(lines)] and 4 < len(lines) <= 10 and lines[-1].running <= 1200
