@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tempoloom.functions import textfn, timefn, vectorfn
 from tempoloom.operators import centrality, chunking, filters, graph, knn, ranking
 from tempoloom.plans import context, retrieve
-from tempoloom.plans.params import QueryParams
+from tempoloom.plans.params import CentralityParams, QueryParams
 from tempoloom.sources import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,6 +331,11 @@ def pagerank_10_rounds(spark, sf_dir):
     return centrality.pagerank(nodes(spark, sf_dir), edges(spark, sf_dir), iterations=10, tolerance=0).select("node_id", F.round("pagerank", 9).alias("pagerank"))
 
 
+@query()
+def pagerank_all_rounds(spark, sf_dir):
+    return centrality.pagerank(centrality.checkpoint(nodes(spark, sf_dir)), centrality.checkpoint(edges(spark, sf_dir)), iterations=CentralityParams().pagerank_iterations)
+
+
 @query()
 def betweenness_of_nodes(spark, sf_dir):
     return centrality.betweenness(nodes(spark, sf_dir), edges(spark, sf_dir))[0]
@@ -511,7 +516,8 @@ def two_hop_beam(spark, sf_dir):
 def _full(spark, sf_dir):
     n = centrality.checkpoint(with_vectors(nodes(spark, sf_dir), spark, sf_dir))
     e = centrality.checkpoint(with_vectors(edges(spark, sf_dir), spark, sf_dir, 7))
-    of_node, of_edge = centrality.combined(n, e, 20, 20, 10)
+    p = CentralityParams()
+    of_node, of_edge = centrality.combined(n, e, p.node_pivots, p.edge_pivots, p.pagerank_iterations)
     q = query_vector(spark, sf_dir)
     return retrieve.retrieve(retrieve.Graph(n, e, centrality.checkpoint(of_node), centrality.checkpoint(of_edge)), q, q, PARAMS, keep=centrality.checkpoint)
 

@@ -176,3 +176,30 @@ def test_chunks_are_looked_up_in_the_whole_table(spark):
     assert {r.chunk_id for r in got if r.is_primary} == set(best) and sum(not r.is_primary for r in got) == 3
     lines = sorted(queries.QUERIES["chunk_budget_context_found"](spark, sf).collect(), key=lambda r: r.running)
     assert [r.chunk_id for r in lines] == sorted(best)[: len(lines)] and 4 < len(lines) <= 10 and lines[-1].running <= 1200
+
+
+def test_registered_centrality_has_production_parameters(spark, monkeypatch):
+    nodes, edges, ids, e = random_graph(spark)
+    monkeypatch.setattr(queries, "nodes", lambda *_: nodes)
+    monkeypatch.setattr(queries, "edges", lambda *_: edges)
+    r = {i: 1 / len(ids) for i in ids}
+    for _ in range(200):
+        lost = sum(r[i] for i in ids if not any(a == i for a, _ in e))
+        new = {i: 0.15 / len(ids) + 0.85 * lost / len(ids) for i in ids}
+        for a, b in e:
+            new[b] += 0.85 * r[a] / sum(x == a for x, _ in e)
+        r = new
+    got = {x.node_id: x.pagerank for x in queries.QUERIES["pagerank_all_rounds"](spark, "").collect()}
+    assert got == {k: pytest.approx(v, abs=1e-4) for k, v in r.items()}
+
+    class Seen(Exception):
+        pass
+
+    def combined(_nodes, _edges, *args):
+        raise Seen(*args)
+
+    monkeypatch.setattr(centrality, "combined", combined)
+    monkeypatch.setattr(queries, "with_vectors", lambda df, *_: df)
+    with pytest.raises(Seen) as seen:
+        queries._full(spark, "")
+    assert seen.value.args == (100, 50, 50)
