@@ -359,6 +359,11 @@ def component_of_first_node(spark, sf_dir):
     return centrality.components(n, edges(spark, sf_dir)).join(F.broadcast(first), "component").select("node_id", "component")
 
 
+@query()
+def components_of_all_nodes(spark, sf_dir):
+    return centrality.components(centrality.checkpoint(nodes(spark, sf_dir)), centrality.checkpoint(edges(spark, sf_dir)))
+
+
 # --- vectors
 
 

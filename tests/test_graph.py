@@ -203,3 +203,21 @@ def test_registered_centrality_has_production_parameters(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         queries._full(spark, "")
     assert seen.value.args == (100, 50, 50)
+
+
+def test_every_node_has_its_component(spark, monkeypatch):
+    nodes, edges, ids, e = random_graph(spark, 30, 18, 4)
+    monkeypatch.setattr(queries, "nodes", lambda *_: nodes)
+    monkeypatch.setattr(queries, "edges", lambda *_: edges)
+    top = {i: i for i in ids}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in e:
+        low, high = sorted((find(a), find(b)))
+        top[high] = low
+    got = {r.node_id: r.component for r in queries.QUERIES["components_of_all_nodes"](spark, "").collect()}
+    assert got == {i: find(i) for i in ids} and len(set(got.values())) > 1
