@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 
 #: A join side is broadcast only if it has at most so many rows (of a few longs); beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: A key of more rows than this (or than a millionth of all, if that is more) is salted in joins.
+HEAVY_ROWS = 50_000
+#: Up to so many edges (of two longs), components are found on the driver.
+SMALL_EDGES = 1_000_000
 #: Python workers cut Arrow batches into slices of about so many bytes of text (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
 
@@ -31,16 +35,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names; a local one only where none is set."""
+    """Cut the lineage with a reliable checkpoint in the folder the session names."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only where the session names none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The session's checkpoint folder. Where it names none, local mode gets one, as in tests; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def free(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,13 +65,34 @@ def partitions(spark: SparkSession) -> int:
 
 def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     """Null-safe join; ``small`` (checkpointed, so counting is cheap) is broadcast only within BROADCAST_ROWS."""
-    renamed = small.toDF(*[f"_r_{c}" if c in on else c for c in small.columns])
+    name = {c: free(f"_r_{c}", big, small) for c in on}
+    renamed = small.toDF(*[name.get(c, c) for c in small.columns])
     side = F.broadcast(renamed) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else renamed
     cond = None
     for c in on:
-        this = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        this = F.col(f"`{c}`").eqNullSafe(F.col(f"`{name[c]}`"))
         cond = this if cond is None else cond & this
-    return big.join(side, cond, how).drop(*[f"_r_{c}" for c in on])
+    return big.join(side, cond, how).drop(*name.values())
+
+
+def heavy_keys(sizes: DataFrame, on: list[str]) -> DataFrame | None:
+    """(on, _salts) of the keys of more than HEAVY_ROWS rows, the BROADCAST_ROWS largest at most; None if there are none.
+
+    sizes: on, n (rows of each key). Lesser keys than those would be of less than a millionth of all rows each.
+    """
+    salts = F.ceil(F.col("n") / HEAVY_ROWS).cast("int").alias("_salts")
+    rows = sizes.filter(F.col("n") > HEAVY_ROWS).orderBy(F.desc("n"), *on).limit(BROADCAST_ROWS).select(*on, salts).toArrow()
+    return sizes.sparkSession.createDataFrame(rows) if rows.num_rows else None
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str], heavy: DataFrame | None) -> DataFrame:
+    """Inner join of rows to a table; the rows of a heavy key are cut by the hash of the columns ``by``, and the table's repeated."""
+    if heavy is None:
+        return rows.join(table, on)
+    many = F.coalesce("_salts", F.lit(1))
+    left = rows.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), many).cast("int")).drop("_salts")
+    right = table.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
 def slices(nbytes: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -86,23 +123,14 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def name_sorted(df: DataFrame, keys: list[str], carry: list[str], repeated_only: bool = False) -> DataFrame:
-    """Integer names for equal keys: each partition, of whole key groups, is sorted by them and its runs of equal keys counted.
-
-    ``_name`` is (partition << 40) + rank in it. With ``repeated_only``, only rows whose key occurs again stay.
-    The result must be checkpointed before it is used twice, since another execution may join other partitions.
-    """
-    n = partitions(df.sparkSession)
-    ordered = df.select(*keys, *carry).repartition(n, *keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*[df.schema[c] for c in carry], T.StructField("_name", T.LongType())])
+def _named(rows: DataFrame, keys: list[str], carry: list[str], offset: int) -> DataFrame:
+    """Names (offset + partition << 40) + rank; each partition has whole keys, which are sorted and counted."""
+    n = partitions(rows.sparkSession)
+    ordered = rows.select(*keys, *[c for c in carry if c not in keys]).repartition(n, *keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*[rows.schema[c] for c in carry], T.StructField("_name", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, rank, last, held, held_new = TaskContext.get().partitionId() << 40, -1, None, None, True
-
-        def emit(b: pa.RecordBatch, names: np.ndarray, keep: np.ndarray | None) -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in carry], pa.array(names)], names=[*carry, "_name"])
-            return out if keep is None else out.filter(pa.array(keep))
-
+        rank, last = (offset + TaskContext.get().partitionId() << 40) - 1, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -113,47 +141,76 @@ def name_sorted(df: DataFrame, keys: list[str], carry: list[str], repeated_only:
             first = tuple(c[0].as_py() for c in cols)
             new[0] = last is None or first != last
             last = tuple(c[-1].as_py() for c in cols)
-            names = base + rank + np.cumsum(new)
-            rank = int(names[-1] - base)
-            if not repeated_only:
-                yield emit(b, names, None)
-                continue
-            if held is not None:  # the row before this batch, whose next is known only now
-                row, name = held
-                if not (held_new and new[0]):
-                    yield emit(row, name, None)
-            alone = new.copy()
-            alone[:-1] &= new[1:]
-            alone[-1] = True
-            yield emit(b, names, ~alone)
-            held, held_new = (b.slice(b.num_rows - 1), names[-1:]), bool(new[-1])
-        if held is not None and not held_new:
-            yield emit(*held, None)
+            names = rank + np.cumsum(new)
+            rank = int(names[-1])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in carry], pa.array(names)], names=[*carry, "_name"])
 
     return ordered.mapInArrow(run, schema)
 
 
+def name_sorted(df: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+    """carry and ``_name``, an integer name that rows share if and only if their keys (never null) are equal; checkpointed.
+
+    Keys are sorted in partitions of whole keys. A key of more than HEAVY_ROWS rows, found by counting hashes, goes to no
+    single task: its distinct values alone are sorted, and its rows get the names by a salted join that compares contents.
+    """
+    rows = df.select(*keys, *carry, F.xxhash64(*keys).alias("_h"))
+    heavy = heavy_keys(rows.groupBy("_h").agg(F.count("*").alias("n")), ["_h"])
+    if heavy is None:
+        return checkpoint(_named(rows, keys, carry, 0))
+    few = F.broadcast(heavy)
+    light = _named(rows.join(few, "_h", "left_anti"), keys, carry, 0)
+    hot = rows.join(few, "_h").withColumn("_salt", F.pmod(F.xxhash64(*carry), F.col("_salts")).cast("int"))
+    names = checkpoint(_named(hot.select("_h", *keys).distinct(), keys, ["_h", *keys], partitions(df.sparkSession)))
+    copies = names.join(few, "_h").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_h", "_salts")
+    return checkpoint(light.unionByName(hot.drop("_h", "_salts").join(copies, [*keys, "_salt"]).select(*carry, "_name")))
+
+
+def _components_here(edges: DataFrame) -> DataFrame:
+    got = edges.select("a", "b").toArrow()
+    ids, at = np.unique(np.concatenate([got.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    x, y, low = at[: got.num_rows], at[got.num_rows :], np.arange(len(ids))
+    while True:
+        new, m = low.copy(), np.minimum(low[x], low[y])
+        for i in (x, y, low[x], low[y]):
+            np.minimum.at(new, i, m)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+    kind = got.schema.field("a").type
+    table = pa.table({"id": pa.array(ids, kind), "comp": pa.array(ids[low], kind)})
+    return checkpoint(edges.sparkSession.createDataFrame(table, edges.select(F.col("a").alias("id"), F.col("a").alias("comp")).schema))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, comp)``, comp the least id of its component.
 
-    Alternates large-star and small-star steps, each checkpointed, till the edge set stands still.
+    Up to SMALL_EDGES edges are joined on the driver; beyond, large-star and small-star steps alternate, each checkpointed
+    and hubs salted, till the edge set stands still.
     """
+    if edges.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
+        return _components_here(edges)
+
+    def lows(e: DataFrame) -> DataFrame:
+        return checkpoint(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e, before = checkpoint(e), None
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        low = lows(both)
+        near = salted_join(both, low.select("u", F.least("u", "m").alias("m")), ["u"], ["v"], heavy_keys(low, ["u"]))
+        large = checkpoint(near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = lows(large)
+        near = salted_join(large, low.select("u", "m"), ["u"], ["v"], heavy_keys(low, ["u"]))
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = checkpoint(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    tops = e.select(F.col("v").alias("u"), "v")
-    return e.union(tops).groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
+    return e.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id").union(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
 def hash_sample(df: DataFrame, n: int, total: int) -> DataFrame:

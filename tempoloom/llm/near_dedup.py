@@ -1,21 +1,24 @@
 """Near-duplicate search by BagMinHash over multisets of word shingles, banding, and exact multiset overlap.
 
 A shingle of weight w has a Poisson process of rate one for each signature register over (0, w] x time. The weight axis
-is discretised into the intervals (0, 1], (1, 2], (2, 4], (4, 8] ...; each interval is one process of its own seed, and
-its points are thinned to those at most w, so that heavy shingles cost a logarithm of their weight. A register keeps
-the earliest point that falls to it, and two documents agree in a register with the probability of their weighted
-Jaccard similarity. Points later than a document's largest register can't matter, so only those up to
-(ln REGISTERS + SLACK) / (total weight) are made; the few documents with an empty register are done again with twice
-the time.
+is discretised into unit cells under a hierarchy: (0, 1], (1, 2], (2, 4], (4, 8] ... are the roots, and each halves down
+to its cells. A process gives its first point and is then split: the half that the point falls to keeps it and is split
+on, the other half goes on from that time as a process of its own, and halves beyond w are left out at once. What
+reaches a cell is a point of a register. All documents with the shingle make the same points, and a process stops as
+soon as its time passes the largest register of its document. A register keeps its earliest point, and two documents
+agree in a register with the probability of their weighted Jaccard similarity.
 
 Signatures are cut into BANDS bands. Documents of equal bags count as one. Of each bucket, each document is first
-compared with the least id among its buckets, then components are compared by their least members in a bucket, and
-last every pair of a bucket that is still in different components: pairs that are in one component already can't
-change the groups, so the groups are those of all bucket pairs, with no cap.
+compared with the least id among its buckets. Then, as long as a bucket has members of more than one component, its
+components' least members are compared with the least of them (first round), and up to PIVOTS of its members with all
+members of other components (later rounds); a pivot that was compared with all leaves the bucket. Pairs that are in one
+component already can't change the groups, so the groups are those of all bucket pairs, with no cap, and no round emits
+more than PIVOTS rows for a member. Buckets and ids that a large share of all rows meet in are salted.
 
 Defined results: a document without words, with a null text or with a null doc_id has no bag and is never a duplicate;
 one shorter than SHINGLE words has one shingle of them all; ties of similarity with the threshold count as duplicates;
-the least doc_id of a group stays; of repeated rows with one doc_id all stay or all go. Other columns pass untouched.
+the least doc_id of a group stays (ids may be of any type that has an order); of repeated rows with one doc_id all stay
+or all go. Other columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tempoloom.llm.common import checked_join, checkpoint, components, text_slices
+from tempoloom.llm.common import BROADCAST_ROWS, checked_join, checkpoint, components, heavy_keys, salted_join, text_slices
 from tempoloom.llm.tokens import U, mix, shingles, words
 
 SHINGLE = 3
 BANDS, ROWS = 40, 3
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.4
-SLACK = 6.0
+PIVOTS = 32
 
 
 def bags(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,35 +58,49 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
     """(n, m) earliest times; infinite for rows without shingles."""
     sig = np.full(n * m, np.inf)
-    total = np.bincount(row, weight, n)
-    level = np.ceil(np.log2(weight)).astype(np.int64) + 1  # intervals of a shingle of this weight
+    level = np.ceil(np.log2(weight)).astype(np.int64) + 1  # roots of a shingle of this weight
     at = np.repeat(np.arange(len(row)), level)
     k = np.arange(len(at)) - np.repeat(np.cumsum(level) - level, level)
-    low = np.where(k == 0, 0.0, 2.0 ** (k - 1))
-    length = np.where(k == 0, 1.0, low)
-    seed = mix(shingle[at] + k.astype(U) * U(0xD6E8FEB86659FD93))
-    slack = np.full(n, np.log(m) + SLACK)
-    todo = total > 0
-    while todo.any():
-        live = np.flatnonzero(todo[row[at]])
-        s, r, w = seed[live], row[at[live]], weight[at[live]]
-        lo, ln = low[live], length[live]
-        until = slack[r] / total[r]
-        t = np.zeros(len(live))
-        while len(s):
-            s = mix(s + U(0x9E3779B97F4A7C15))
-            t = t - np.log(_uniform(s)) / (m * ln)
-            on = np.flatnonzero(t <= until)
-            if len(on) < len(s):
-                s, r, w, lo, ln, until, t = (x[on] for x in (s, r, w, lo, ln, until, t))
-            h = mix(s ^ U(0xA0761D6478BD642F))
-            ok = lo + ln * _uniform(mix(h + U(1))) <= w
-            reg = (h % U(m)).astype(np.int64)
-            np.minimum.at(sig, (r * m + reg)[ok], t[ok])
-        empty = np.isinf(sig.reshape(n, m)).any(1)
-        todo &= empty
-        slack[todo] *= 2
-    return sig.reshape(n, m)
+    lo = np.where(k == 0, 0.0, 2.0 ** (k - 1))
+    ln = np.where(k == 0, 1.0, lo)
+    r, w, s = row[at], weight[at], mix(shingle[at] + k.astype(U) * U(0xD6E8FEB86659FD93))
+
+    def drawn(s: np.ndarray, r: np.ndarray, w: np.ndarray, lo: np.ndarray, ln: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        """The processes with the times of their next points."""
+        s = mix(s + U(0x9E3779B97F4A7C15))
+        return [s, r, w, lo, ln, t - np.log(_uniform(s)) / (m * ln)]
+
+    live, later = drawn(s, r, w, lo, ln, np.zeros(len(at))), []
+    total = np.maximum(np.bincount(row, weight, n), 1)
+    until = (np.log(m) + 0.5) / total  # points are made window by window, so that most rows' registers are full after the first
+    while True:
+        late = live[5] > until[live[1]]
+        later.append([x[late] for x in live])
+        s, r, w, lo, ln, t = (x[~late] for x in live)
+        if not len(s):
+            largest = sig.reshape(n, m).max(1)
+            live, later = [np.concatenate(x) for x in zip(*later)], []
+            on = live[5] <= largest[live[1]]
+            live = [x[on] for x in live]
+            if not len(live[0]):
+                return sig.reshape(n, m)
+            until += 1 / total
+            continue
+        h, waiting = mix(s ^ U(0xA0761D6478BD642F)), []
+        while len(wide := np.flatnonzero(ln > 1)):
+            half, right = ln[wide] / 2, (h[wide] >> U(63)).astype(float)
+            other = lo[wide] + (1 - right) * half
+            there = other < w[wide]
+            i = wide[there]
+            waiting.append((mix(h[i] ^ U(0x8EBC6AF09C88C6E3)), r[i], w[i], other[there], half[there], t[i]))
+            lo[wide] += right * half
+            ln[wide] = half
+            h[wide] = mix(h[wide] + U(0x589965CC75374CC3))
+        within = lo < w
+        if not within.all():
+            h, s, r, w, lo, ln, t = (x[within] for x in (h, s, r, w, lo, ln, t))
+        np.minimum.at(sig, r * m + (mix(h + U(1)) % U(m)).astype(np.int64), t)
+        live = drawn(*(np.concatenate(x) for x in zip((s, r, w, lo, ln, t), *waiting)) if waiting else (s, r, w, lo, ln, t))
 
 
 def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -138,43 +154,67 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def bags_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, bag) of the documents with these ids, checkpointed."""
     own = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    bag = checked_join(own, checkpoint(ids), ["doc_id"], "left_semi").mapInArrow(_bagged, "doc_id long, bag binary").dropDuplicates(["doc_id"])
-    bag = checkpoint(bag)
-    with_b = pairs.join(bag.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return with_b.join(bag.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bag = checkpoint(checked_join(own, ids, ["doc_id"], "left_semi").mapInArrow(_bagged, f"doc_id {kind}, bag binary").filter("length(bag) > 0"))
+    return bag if bag.count() == ids.count() else checkpoint(bag.distinct())  # repeated rows
+
+
+def verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b and checkpointed, whose multisets overlap enough; both ends may be hubs."""
+    hubs = {c: heavy_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c]) for c in ("a", "b")}
+    kind = pairs.schema["a"].dataType.simpleString()
+    with_b = salted_join(pairs, bags.toDF("b", "bag_b"), ["b"], ["a"], hubs["b"])
+    both = salted_join(with_b, bags.toDF("a", "bag_a"), ["a"], ["b"], hubs["a"])
+    return checkpoint(both.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, f"a {kind}, b {kind}").distinct())
+
+
+def _in_buckets(member: DataFrame, buckets: DataFrame, longs: int = 1) -> DataFrame:
+    """Members with what is known of their buckets: (bucket, n) and so many longs."""
+    most = BROADCAST_ROWS // longs
+    if buckets.limit(most + 1).count() <= most:
+        return checkpoint(member.join(F.broadcast(buckets.drop("n")), "bucket"))
+    return checkpoint(salted_join(member, buckets.drop("n"), ["bucket"], ["doc_id"], heavy_keys(buckets, ["bucket"])))
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, comp) for every document that is in a group of near duplicates; comp is the group's least doc_id."""
-    key = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = checkpoint(key.mapInArrow(_signed, "doc_id long, b1 long, b2 long, bands array<long>"))
-    equal = signed.groupBy("b1", "b2").agg(F.min("doc_id").alias("a"), F.collect_set("doc_id").alias("ids")).filter("size(ids) > 1")
-    equal = checkpoint(equal.select("a", F.explode("ids").alias("b")).filter("a <> b"))
-    reps = signed.join(equal.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    member = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    bucket = Window.partitionBy("bucket")
-    member = checkpoint(member.select("doc_id", "bucket", F.min("doc_id").over(bucket).alias("low"), F.max("doc_id").over(bucket).alias("high")).filter("low <> high"))
-    star = member.groupBy("doc_id").agg(F.min("low").alias("a")).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-    edges = checkpoint(verify(star, docs))
-    for last in (False, True):
-        comp = components(edges)
-        placed = member.select("doc_id", "bucket").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("comp", "doc_id").alias("comp"))
-        bucket = Window.partitionBy("bucket")
-        open_ = placed.select("*", F.min("comp").over(bucket).alias("low"), F.max("comp").over(bucket).alias("high")).filter("low <> high")
-        if last:
-            one = open_.select("bucket", F.col("doc_id").alias("a"), F.col("comp").alias("ca"))
-            two = open_.select("bucket", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
-            more = one.join(two, "bucket").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            least = open_.groupBy("bucket", "comp").agg(F.min("doc_id").alias("b"))
-            more = least.select(F.min("b").over(bucket).alias("a"), "b").filter("a <> b")
-        more = checkpoint(more.distinct())
-        edges = checkpoint(edges.union(verify(more, docs))) if more.limit(1).count() else edges
-    return components(edges.union(equal))
+    """(id, comp) for every document that is in a group of near duplicates; comp is the group's least doc_id."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    key = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    signed = checkpoint(key.mapInArrow(_signed, f"doc_id {kind}, b1 long, b2 long, bands array<long>"))
+    same = checkpoint(signed.groupBy("b1", "b2").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    equal = salted_join(signed.select("doc_id", "b1", "b2"), same.drop("n"), ["b1", "b2"], ["doc_id"], heavy_keys(same, ["b1", "b2"]))
+    equal = checkpoint(equal.filter("doc_id <> a").distinct())
+    reps = checked_join(signed, equal.select("doc_id", "b1", "b2"), ["doc_id", "b1", "b2"], "left_anti")
+    member = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    hot = member.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high").drop("high")
+    member = _in_buckets(member, checkpoint(hot))
+    bags = bags_of(docs, checkpoint(member.select("doc_id").distinct()))
+    star = checkpoint(member.groupBy("doc_id").agg(F.min("low").alias("a")).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")))
+    comp, tried, member, turn = components(verify(star, bags)), star, member.select("doc_id", "bucket"), 0
+    while True:
+        placed = checkpoint(member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("comp", "doc_id").alias("comp")))
+        one = F.struct("doc_id", "comp")
+        slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(PIVOTS))
+        pivots = [F.min(one)] if not turn else [F.min(F.when(slot == k, one)) for k in range(PIVOTS)]
+        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.array_compact(F.array(*pivots)).alias("pivots")).filter("low <> high")
+        mixed = checkpoint(mixed.select("bucket", "n", "pivots"))
+        if not mixed.limit(1).count():
+            break
+        open_ = _in_buckets(placed, mixed, 2 * len(pivots))
+        asked = open_ if turn else _in_buckets(open_.groupBy("bucket", "comp").agg(F.min("doc_id").alias("doc_id")), mixed, 2)
+        more = asked.select("doc_id", "comp", F.explode("pivots").alias("p")).filter("p.comp <> comp")
+        more = more.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
+        more = checkpoint(more.join(tried, ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            new, tried = verify(more, bags), checkpoint(tried.union(more))
+            if new.limit(1).count():
+                comp = components(new.union(comp.filter("id <> comp").select("comp", "id")))
+        left = open_.filter(~F.array_contains(F.transform("pivots", lambda p: p["doc_id"]), F.col("doc_id"))) if turn else open_
+        member, turn = checkpoint(left.select("doc_id", "bucket")), turn + 1
+    return components(comp.filter("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b")).union(equal.select("a", F.col("doc_id").alias("b"))))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from tempoloom.llm import common as C
 from tempoloom.llm import near_dedup as N
 from tempoloom.llm.tokens import U
 
@@ -78,3 +80,62 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r[0] or -1 for r in kept.collect())) == [-1, -1, 1, 2, 3, 4, 5, 6, 8, 10, 12, 12]
     assert N.near_copies(docs.limit(0)).count() == 0
+
+
+def union(pairs):
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {x: top(x) for x in up}
+
+
+def test_components_on_the_driver_and_by_stars_with_salted_hubs(spark, monkeypatch):
+    g = random.Random(5)
+    pairs = [(0, i) for i in range(1, 60)] + [(g.randrange(100, 180), g.randrange(100, 180)) for _ in range(60)] + [(500, i) for i in range(400, 440)] + [(i, i + 1) for i in range(600, 640)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = union(pairs)
+    assert {r.id: r.comp for r in C.components(edges).collect()} == want
+    monkeypatch.setattr(C, "SMALL_EDGES", 0)
+    monkeypatch.setattr(C, "HEAVY_ROWS", 10)
+    assert {r.id: r.comp for r in C.components(edges).collect()} == want
+    words = edges.select(*[F.concat(F.lit("k"), F.col(c).cast("string")).alias(c) for c in ("a", "b")])
+    assert {r.id: r.comp for r in C.components(words).collect()} == union([(f"k{a}", f"k{b}") for a, b in pairs])
+
+
+def test_a_hot_bucket_of_equal_and_nearly_equal_short_texts(spark, monkeypatch):
+    """A group of most rows, with hubs, hot buckets and hot bags salted, and buckets of texts that aren't alike."""
+    monkeypatch.setattr(C, "HEAVY_ROWS", 500)
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 1000)
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 10)
+    near = [(i, f"please accept all the cookies of this site to go on reading number {i}") for i in range(3000)]
+    rows = near + [(10000 + i, "the same short text again and again") for i in range(3000)] + [(20000 + i, f"w{i} x{i} y{i} z{i} v{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.keep_id for r in N.near_copies(docs).collect()}
+    assert got == {i: 0 for i in range(1, 3000)} | {10000 + i: 10000 for i in range(1, 3000)}
+
+
+def test_open_buckets_are_searched_through_by_pivots(spark, monkeypatch):
+    """With one register a band every pair that shares a bucket is a candidate; all links between different texts are found."""
+    monkeypatch.setattr(N, "PIVOTS", 2)
+    texts = make(7, 60) + [f"a b c {x} {x}1 {x}2 {x}3" for x in "defghijklmnop"] + [f"a b c d e {x} {x}2" for x in "uvwxyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, want = brute(texts)
+    monkeypatch.setattr(N, "band_hashes", lambda sig, bands=N.BANDS: (np.arange(N.BANDS) + np.zeros((len(sig), 1))).astype(np.int64) // 40)
+    got = {r.doc_id: r.keep_id for r in N.near_copies(docs).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want
+
+
+def test_ids_of_any_type_and_columns_of_any_name(spark):
+    rows = [(f"d{i}", t, "x", "y", "z", "w") for i, t in enumerate(["one two three four five", "One two three four five!", "six seven eight nine", None])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _r_doc_id string, _salt string, bands string, _r_doc_id_ string")
+    assert [tuple(r) for r in N.near_copies(docs).collect()] == [("d0", "d1")]
+    kept = N.drop_near_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {"d0", "d2", "d3"}
