@@ -10,8 +10,10 @@ deflated. The first join broadcasts the templates only if they are LIST_ROWS at
 
 Defined results: a null page has null text, an empty one has empty text; pages with a null url or one without a host
 share the host ''; html, head and body themselves are never deleted; scripts, styles, comments and the head aren't text;
-unclosed elements end with their parent, stray end tags are skipped; rows of one host with equal page_id and html count
-as one page, and a subtree that recurs within one page counts once. An empty table gives no rows. Other columns are ignored.
+unclosed elements end with their parent, stray end tags are skipped; a tag whose quotes never close ends at its first
+'>', and from there on quotes don't count; a '<' that no '>' follows is text; rows of one host with equal page_id and
+html count as one page, and a subtree that recurs within one page counts once. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ from tempoloom.llm.url_reputation import host
 MIN_PAGES = 5
 MIN_SHARE = 0.0  # of the host's pages: none is asked for
 LIST_ROWS = 1_000_000
-ATTRS = r"""(?:[^"'>]|"[^"]*"|'[^']*')*"""
-TOKEN = re.compile(rf"([^<]+)|<(/?)([a-zA-Z][^\s/>]*)({ATTRS})>|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<", re.S)
+ATTRS = r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+"""
+TOKEN, LOOSE = (re.compile(rf"([^<]++)|<(/?)([a-zA-Z][^\s/>]*+)({attrs})>|<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<", re.S) for attrs in (ATTRS, "[^>]*+"))
+NAMED = re.compile("</?[a-zA-Z]")
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "noscript", "textarea", "title")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ENDS = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
+ENDS = frozenset("p li dt dd tr td th option".split())  # each ends an open one of its kind
 BOUNDS = frozenset("ul ol dl table div section article main body html nav select header footer aside".split())
 BLOCK = BOUNDS | frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 pre blockquote form fieldset figure figcaption address hr br option".split())
 HIDDEN = frozenset(("head", "script", "style", "template", "noscript"))
@@ -45,81 +48,99 @@ FIXED = frozenset(("html", "head", "body"))
 
 
 def parse(html: str, drop: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None) -> tuple[str, int]:
-    """(text, deleted subtrees); hashes gets the hash of every element but html, head and body."""
-    stack: list[list] = [["", "", [], []]]  # tag, attributes, what is hashed, text
+    """(text, deleted subtrees); hashes gets the hash of every element but html, head and body. Time grows linearly with the page."""
+    hashing = hashes is not None or bool(drop)
+    stack: list[tuple[str, list[str], int]] = [("", [], 0)]  # tag, what is hashed, where its text begins
+    out: list[str] = []
+    opened: dict[str, int] = {}
+    scopes: list[dict[str, int]] = [{}]  # open elements of ENDS since each element of BOUNDS
     removed = 0
 
+    def start(tag: str, attrs: str) -> None:
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in BOUNDS:
+            scopes.append({})
+        elif tag in ENDS:
+            scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
+        stack.append((tag, [tag, attrs.strip()] if hashing else [], len(out)))
+        if tag in BLOCK:
+            out.append("\n")
+
     def close() -> None:
         nonlocal removed
-        tag, attrs, seen, text = stack.pop()
-        h = xxhash.xxh64_intdigest("\x00".join([tag, attrs, *seen])) - (1 << 63)
-        up = stack[-1]
-        up[2].append(f"\x01{h}")
-        if tag not in FIXED:
-            if hashes is not None:
-                hashes.add(h)
-            if h in drop:
-                removed += 1
-                if tag in BLOCK:
-                    up[3].append("\n")
-                return
-        if tag in HIDDEN:
-            return
-        if tag in BLOCK:
-            up[3].append("\n")
-            up[3].extend(text)
-            up[3].append("\n")
-        else:
-            up[3].extend(text)
+        tag, seen, begin = stack.pop()
+        opened[tag] -= 1
+        if tag in BOUNDS:
+            scopes.pop()
+        elif tag in ENDS:
+            scopes[-1][tag] -= 1
+        dropped = tag in HIDDEN
+        if hashing:
+            h = xxhash.xxh64_intdigest("\x00".join(seen)) - (1 << 63)
+            stack[-1][1].append(f"\x01{h}")
+            if tag not in FIXED:
+                if hashes is not None:
+                    hashes.add(h)
+                if h in drop:
+                    removed += 1
+                    dropped = True
+        if dropped:
+            del out[begin + (tag in BLOCK) :]
+        elif tag in BLOCK:
+            out.append("\n")
+
+    def close_through(tag: str) -> None:
+        while stack[-1][0] != tag:
+            close()
+        close()
 
-    at, n = 0, len(html)
+    at, n, last = 0, len(html), html.rfind(">")
+    token = TOKEN
     while at < n:
-        m = TOKEN.match(html, at)
-        if m is None:  # an end of quotes that never comes
-            stack[-1][3].append(html[at])
-            at += 1
-            continue
+        if at > last:  # no tag ends any more
+            e = html.find("<!--", at)
+            rest = html[at : e if e >= 0 else n]
+            if hashing and rest.strip():
+                stack[-1][1].append(rest.strip())
+            out.append(rest)
+            break
+        m = token.match(html, at)
+        if token is TOKEN and m.end() == at + 1 and html[at] == "<":
+            if NAMED.match(html, at):  # a quote that never closes
+                token = LOOSE
+                continue
         at = m.end()
         text, end, tag, attrs = m.groups()
         if text is not None:
-            s = text.strip()
-            if s:
-                stack[-1][2].append(s)
-            stack[-1][3].append(text)
+            if hashing and (t := text.strip()):
+                stack[-1][1].append(t)
+            out.append(text)
         elif tag is None:
             if m.group() == "<":
-                stack[-1][3].append("<")
+                out.append("<")
         elif end:
             tag = tag.lower()
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] != tag:
-                k -= 1
-            if k:
-                while len(stack) > k:
-                    close()
+            if opened.get(tag):
+                close_through(tag)
         else:
             tag = tag.lower()
-            if tag in ENDS:
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] not in BOUNDS and stack[k][0] != tag:
-                    k -= 1
-                if k > 0 and stack[k][0] == tag:
-                    while len(stack) > k:
-                        close()
-            stack.append([tag, attrs.strip(), [], []])
+            if tag in ENDS and scopes[-1].get(tag):
+                close_through(tag)
+            start(tag, attrs)
             if tag in RAW:
                 e = RAW[tag].search(html, at)
                 body = html[at : e.start() if e else n]
-                stack[-1][2].append(body)
+                if hashing:
+                    stack[-1][1].append(body)
                 if tag == "textarea":
-                    stack[-1][3].append(body)
+                    out.append(body)
                 at = e.end() if e else n
                 close()
             elif tag in VOID or attrs.endswith("/"):
                 close()
     while len(stack) > 1:
         close()
-    lines = (" ".join(x.split()) for x in unescape("".join(stack[0][3])).split("\n"))
+    lines = (" ".join(x.split()) for x in unescape("".join(out)).split("\n"))
     return "\n".join(x for x in lines if x), removed
 
 

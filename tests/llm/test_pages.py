@@ -1,4 +1,7 @@
+import random
+import time
 from collections import Counter, defaultdict
+from html import unescape
 from html.parser import HTMLParser
 
 import duckdb
@@ -100,3 +103,115 @@ def test_reputation_against_sql(spark):
     assert rep["www.b.co.uk"].domain == "b.co.uk" and rep["x.y.z.org"].domain == "z.org" and rep["10.0.0.1"].suffix == "10.0.0.1"
     assert rep["spam.example.com"].upper < 0.5 < rep["a.example.com"].upper
     assert R.judged(pages.limit(0), labels).count() == 0
+
+
+def plain_parse(html, drop):
+    """The same text by the rules alone: characters one by one, a tree, and walks over all open elements."""
+    low, loose, stack, at = html.lower(), False, [("", "", [])], 0
+
+    def end_of_tag(i, loose):
+        quote = ""
+        while i < len(html):
+            c = html[i]
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "\"'" and not loose:
+                quote = c
+            elif c == ">":
+                return i
+            i += 1
+        return -1
+
+    def put(x):
+        stack[-1][2].append(x)
+
+    def close():
+        x = stack.pop()
+        put(x)
+
+    while at < len(html):
+        c = html[at]
+        if c != "<":
+            e = at
+            while e < len(html) and html[e] != "<":
+                e += 1
+            put(html[at:e])
+            at = e
+            continue
+        if html.startswith("<!--", at):
+            e = html.find("-->", at + 4)
+            at = len(html) if e < 0 else e + 3
+            continue
+        slash = html[at + 1 : at + 2] == "/"
+        i = at + 1 + slash
+        named = html[i : i + 1].isascii() and html[i : i + 1].isalpha()
+        if html[at + 1 : at + 2] in ("!", "?") and ">" in html[at:]:
+            at = html.index(">", at) + 1
+            continue
+        j = i
+        while named and j < len(html) and not html[j].isspace() and html[j] not in "/>":
+            j += 1
+        e = end_of_tag(j, loose) if named else -1
+        if named and e < 0 and ">" in html[at:] and not loose:
+            loose, e = True, end_of_tag(j, True)
+        if not named or e < 0:
+            put("<")
+            at += 1
+            continue
+        tag, attrs, at = low[i:j], html[j:e], e + 1
+        names = [x[0] for x in stack]
+        if slash:
+            if tag in names[1:]:
+                while stack[-1][0] != tag:
+                    close()
+                close()
+            continue
+        if tag in H.ENDS:
+            k = len(stack) - 1
+            while k > 0 and names[k] not in H.BOUNDS and names[k] != tag:
+                k -= 1
+            while k > 0 and names[k] == tag and len(stack) > k:
+                close()
+        stack.append((tag, attrs, []))
+        if tag in H.RAW:
+            m = H.RAW[tag].search(html, at)
+            put(html[at : m.start() if m else len(html)])
+            at = m.end() if m else len(html)
+            close()
+        elif tag in H.VOID or attrs.endswith("/"):
+            close()
+    while len(stack) > 1:
+        close()
+
+    def text(x):
+        if isinstance(x, str):
+            return x
+        tag, _, inner = x
+        edge = "\n" if tag in H.BLOCK else ""
+        if tag == drop:
+            return edge
+        return "" if tag in H.HIDDEN or (tag in H.RAW and tag != "textarea") else edge + "".join(map(text, inner)) + edge
+
+    lines = (" ".join(x.split()) for x in unescape("".join(map(text, stack[0][2]))).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def test_malformed_pages_have_the_text_that_the_plain_rules_give():
+    g = random.Random(5)
+    parts = ["<p>", "</p>", "<b>", "</b>", "<div class='a'>", "</div>", "<li>", "<ul>", "</ul>", "<td>", "<tr>", "<table>", "</table>", "x", " y\n", "<", ">", '"', "'", "<a href=\"u>v\">", "</a>", "<br/>", "<!-- c -->", "<!--", "<!d>", "&amp;", "<script>", "</script>", "<title>t</title>", "</", "<é", "<option>", "</x>", "<i a='", "<textarea>q"]
+    for _ in range(4000):
+        html = "".join(g.choices(parts, k=g.randint(1, 25)))
+        assert H.parse(html)[0] == plain_parse(html, None), html
+        hashes = set()
+        assert H.parse(html, hashes=hashes)[0] == plain_parse(html, None), html  # hashing changes no text
+
+
+def test_hard_pages_of_a_megabyte_take_linear_time():
+    n = 1 << 20
+    deep = "<b>x" * (n // 8)
+    pages = ['<a "' * (n // 4), "<a " * (n // 3), "<b>" * (n // 8) + "</i>" * (n // 8), "<p><div>" + "<b>" * (n // 8) + "<p></p>" * (n // 14), deep, "<a \">\" " * (n // 8) + "'", "<" * n, "<!" * (n // 2), "<ul><li>" * (n // 16) + "<li>" * (n // 8), "<script" * (n // 7), "<!--" * (n // 4)]
+    for html in pages:
+        for hashes in (None, set()):
+            began = time.process_time()
+            H.parse(html, hashes=hashes)
+            assert time.process_time() - began < 4, html[:40]
