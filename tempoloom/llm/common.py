@@ -95,6 +95,15 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str],
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
+def sized_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str], count: str = "n") -> DataFrame:
+    """Inner join to a checkpointed table whose column ``count`` says how many rows each of its keys has; the column goes.
+
+    The table is broadcast within BROADCAST_ROWS; beyond, the join shuffles and heavy keys are salted."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(count)), on)
+    return salted_join(rows, table.drop(count), on, by, heavy_keys(table.select(*on, F.col(count).alias("n")), on))
+
+
 def slices(nbytes: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about so many bytes each."""
     first, total = 0, 0

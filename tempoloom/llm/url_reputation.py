@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempoloom.llm.common import checkpoint, sized_join
+
 HOST = r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 TWO_LEVEL = ("ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "edu.au", "gov.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 RHO = (0.001, 0.5)
@@ -56,12 +58,12 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("_rep_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("quality")).filter("low = quality").drop("low")
     own = pages.select("page_id", host(F.col("url")).alias("host"))
     hosts = own.join(known, own.page_id == known._rep_id, "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("quality").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("k"))
-    hosts = hosts.withColumn("suffix", suffix(F.col("host"))).withColumn("domain", domain(F.col("host"), F.col("suffix")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    hosts = checkpoint(hosts.withColumn("suffix", suffix(F.col("host"))).withColumn("domain", domain(F.col("host"), F.col("suffix"))))
+    domains = checkpoint(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    suffixes = checkpoint(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"))
-    by_suffix = _shrunk(suffixes.crossJoin(F.broadcast(top)), "mean").select("suffix", F.col("mean").alias("m"))
-    by_domain = _shrunk(domains.join(by_suffix, "suffix"), "mean").select("domain", "suffix", F.col("mean").alias("m"))
+    by_suffix = checkpoint(_shrunk(suffixes.crossJoin(F.broadcast(top)), "mean").select("suffix", F.col("mean").alias("m")))
+    by_domain = checkpoint(_shrunk(domains.join(by_suffix, "suffix"), "mean").select("domain", "suffix", F.col("mean").alias("m")))
     out = _shrunk(hosts.join(by_domain, ["domain", "suffix"]), "mean")
     strength = F.col("n") + F.col("kappa")
     upper = F.least(F.lit(1.0), F.col("mean") + SPREAD * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (strength + 1)))
@@ -70,9 +72,9 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, domain, suffix, mean, upper, kept of every page."""
-    rep = reputations(pages, labels).select(F.col("host").alias("_rep_host"), "domain", "suffix", "mean", "upper")
+    rep = checkpoint(reputations(pages, labels).select("host", "domain", "suffix", "mean", "upper", "pages"))
     own = pages.select("page_id", host(F.col("url")).alias("host"))
-    return own.join(rep, own.host == rep._rep_host).select("page_id", "host", "domain", "suffix", F.round("mean", 6).alias("mean"), F.round("upper", 6).alias("upper"), (F.round("upper", 6) >= MIN_RATE).alias("kept"))
+    return sized_join(own, rep, ["host"], ["page_id"], "pages").select("page_id", "host", "domain", "suffix", F.round("mean", 6).alias("mean"), F.round("upper", 6).alias("upper"), (F.round("upper", 6) >= MIN_RATE).alias("kept"))
 
 
 def _level(name: str, table: str, parent: str) -> str:
