@@ -10,7 +10,8 @@ with the corpus). All documents are then labelled.
 
 Defined results: a null or empty text has no bytes, so its lang and prob are null and it is rejected; a document is kept
 if its best mean probability is at least MIN_PROB. Ties go to the first language in code order. Repeated rows are
-labelled one by one. An empty table or one without a labelled language gives null languages. Other columns pass
+labelled one by one. An empty table, one without a labelled language or without a column lang gives null languages. Other
+columns pass
 untouched in ``keep_identified``.
 """
 
@@ -37,6 +38,8 @@ SEED = 11
 
 def sample(docs: DataFrame, n: int = TRAIN_DOCS) -> list[tuple[str, str]]:
     """About n (lang, text) rows by hash of doc_id; the whole table's count sets the share that is taken."""
+    if "lang" not in docs.columns:
+        return []
     usable = docs.select("doc_id", "lang", "text").filter("lang is not null and text <> ''")
     total = docs.filter("lang is not null").count()
     share = min(1.0, 1.2 * n / max(total, 1))
