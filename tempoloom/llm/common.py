@@ -9,10 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: A join side is broadcast only if it has at most so many rows (of a few longs); beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -132,45 +131,28 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def _named(rows: DataFrame, keys: list[str], carry: list[str], offset: int) -> DataFrame:
-    """Names (offset + partition << 40) + rank; each partition has whole keys, which are sorted and counted."""
-    n = partitions(rows.sparkSession)
-    ordered = rows.select(*keys, *[c for c in carry if c not in keys]).repartition(n, *keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*[rows.schema[c] for c in carry], T.StructField("_name", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, last = (offset + TaskContext.get().partitionId() << 40) - 1, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(b.schema.get_field_index(k)) for k in keys]
-            new = np.zeros(b.num_rows, bool)
-            for c in cols:
-                new[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)), True).to_numpy(zero_copy_only=False)
-            first = tuple(c[0].as_py() for c in cols)
-            new[0] = last is None or first != last
-            last = tuple(c[-1].as_py() for c in cols)
-            names = rank + np.cumsum(new)
-            rank = int(names[-1])
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in carry], pa.array(names)], names=[*carry, "_name"])
-
-    return ordered.mapInArrow(run, schema)
+def _named(rows: DataFrame, keys: list[str], carry: list[str], hot: bool = False) -> DataFrame:
+    """carry and ``_name``: (bucket << 40) + rank among the bucket's sorted keys. Buckets are by hash, so they hold whole keys."""
+    buckets = min(8 * partitions(rows.sparkSession), 1 << 20)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    ranked = rows.withColumn("_b", bucket).withColumn("_rank", F.dense_rank().over(Window.partitionBy("_b").orderBy(*keys)))
+    return ranked.select(*carry, (F.shiftleft(F.col("_b") + (buckets if hot else 0), 40) + F.col("_rank")).alias("_name"))
 
 
 def name_sorted(df: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
     """carry and ``_name``, an integer name that rows share if and only if their keys (never null) are equal; checkpointed.
 
-    Keys are sorted in partitions of whole keys. A key of more than HEAVY_ROWS rows, found by counting hashes, goes to no
+    Keys are sorted in buckets of whole keys. A key of more than HEAVY_ROWS rows, found by counting hashes, goes to no
     single task: its distinct values alone are sorted, and its rows get the names by a salted join that compares contents.
     """
     rows = df.select(*keys, *carry, F.xxhash64(*keys).alias("_h"))
     heavy = heavy_keys(rows.groupBy("_h").agg(F.count("*").alias("n")), ["_h"])
     if heavy is None:
-        return checkpoint(_named(rows, keys, carry, 0))
+        return checkpoint(_named(rows, keys, carry))
     few = F.broadcast(heavy)
-    light = _named(rows.join(few, "_h", "left_anti"), keys, carry, 0)
+    light = _named(rows.join(few, "_h", "left_anti"), keys, carry)
     hot = rows.join(few, "_h").withColumn("_salt", F.pmod(F.xxhash64(*carry), F.col("_salts")).cast("int"))
-    names = checkpoint(_named(hot.select("_h", *keys).distinct(), keys, ["_h", *keys], partitions(df.sparkSession)))
+    names = checkpoint(_named(hot.select("_h", *keys).distinct(), keys, ["_h", *keys], hot=True))
     copies = names.join(few, "_h").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_h", "_salts")
     return checkpoint(light.unionByName(hot.drop("_h", "_salts").join(copies, [*keys, "_salt"]).select(*carry, "_name")))
 

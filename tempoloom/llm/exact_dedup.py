@@ -6,7 +6,7 @@ since names stand for contents, not for hashes.
 
 Defined results: a null text is never a copy; empty texts are copies of each other; the row that stays of a group is
 the one with the least doc_id (nulls last); repeated rows (same doc_id and text) count as copies of one row. Other
-columns are passed through untouched whatever their names, save those that start with ``_kmr_``.
+columns are passed through untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tempoloom.llm.common import checked_join, checkpoint, name_sorted
+from tempoloom.llm.common import checked_join, checkpoint, free, name_sorted, sized_join
 
 BLOCK_BYTES = 2048
 
@@ -27,6 +26,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     raw = F.col("text").cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / F.lit(block_bytes))).cast("int")
     cut = lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes))
+    docs = docs.select("doc_id", "text")
     base = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_kmr_h"), "text", n.alias("n"))
     blocks = base.select("doc_id", "_kmr_h", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), cut)).alias("pos", "block"))
     key = ["doc_id", "_kmr_h", "n", "pos"]
@@ -49,11 +49,11 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, _kmr_h, keep_id, first, _kmr_rows): the groups of two or more rows; first marks the one that stays."""
-    same = Window.partitionBy("level", "name")
-    ids = identities(docs)
-    ranked = ids.withColumn("size", F.sum("_kmr_rows").over(same)).withColumn("keep_id", F.min("doc_id").over(same))
-    ranked = ranked.withColumn("rn", F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_last())))
-    return ranked.filter("size > 1").select("doc_id", "_kmr_h", "keep_id", (F.col("rn") == 1).alias("first"), "_kmr_rows")
+    ids = checkpoint(identities(docs))
+    same = ids.groupBy("level", "name").agg(F.sum("_kmr_rows").alias("size"), F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    groups = checkpoint(same.filter("size > 1").drop("size"))
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return sized_join(ids, groups, ["level", "name"], ["doc_id"]).select("doc_id", "_kmr_h", "keep_id", first.alias("first"), "_kmr_rows")
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
@@ -64,10 +64,11 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs without copies, all columns kept."""
-    c = checkpoint(copies(docs))
-    keyed = docs.withColumn("_kmr_h", F.xxhash64("text"))
-    rest = checked_join(keyed.filter("text is not null"), c.filter("not first or _kmr_rows > 1").select("doc_id", "_kmr_h"), ["doc_id", "_kmr_h"], "left_anti")
-    again = c.filter("first and _kmr_rows > 1").select("doc_id", "_kmr_h")
-    once = checked_join(keyed.filter("text is not null"), again, ["doc_id", "_kmr_h"], "left_semi").dropDuplicates(["doc_id", "_kmr_h"]) if again.limit(1).count() else None
+    h = free("_kmr_h", docs)
+    c = checkpoint(copies(docs.select("doc_id", "text")).withColumnRenamed("_kmr_h", h))
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    rest = checked_join(keyed.filter("text is not null"), c.filter("not first or _kmr_rows > 1").select("doc_id", h), ["doc_id", h], "left_anti")
+    again = c.filter("first and _kmr_rows > 1").select("doc_id", h)
+    once = checked_join(keyed.filter("text is not null"), again, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h]) if again.limit(1).count() else None
     out = rest.unionByName(keyed.filter("text is null"))
-    return (out.unionByName(once) if once is not None else out).drop("_kmr_h")
+    return (out.unionByName(once) if once is not None else out).drop(h)
