@@ -13,8 +13,8 @@ beyond SHARD_WORDS the items are cut into several automata, which are run one af
 
 Defined results: null and empty items match nothing; an item of fewer than SHORT_WORDS words matches nothing, as its
 words may stand in any text; a null or empty text is clean; overlapping spans are merged; repeated rows are cleaned one
-by one. Other columns pass untouched, save an integer n_chars of a text that was cut, which gets its new length; names
-that start with ``_gsa_`` are reserved. An empty benchmark or table gives no spans.
+by one. Other columns pass untouched whatever their names, save an integer n_chars of a text that was cut, which gets
+its new length. An empty benchmark or table gives no spans.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempoloom.llm.common import checkpoint, text_slices
+from tempoloom.llm.common import checkpoint, free, text_slices
 from tempoloom.llm.tokens import U, Words, mix, words
 
 MIN_WORDS = 13
@@ -206,10 +206,20 @@ def automata(benchmark: DataFrame) -> list[Automaton]:
     return [build(s) for s in shards if s]
 
 
-def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with ``_gsa_spans``: int64 triples (first word, last word, longest match), null where the text is clean."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_gsa_spans", T.BinaryType())])
-    out = docs.withColumn("_gsa_spans", F.lit(None).cast("binary"))
+class Names:
+    """Columns that are added, under names that docs doesn't have."""
+
+    def __init__(self, docs: DataFrame):
+        self.spans, self.text, self.words, self.gone = (free(f"_gsa_{x}", docs) for x in ("spans", "text", "words", "gone"))
+
+    def cut(self, out: DataFrame) -> T.StructType:
+        return T.StructType([*out.schema.fields, T.StructField(self.text, T.StringType()), T.StructField(self.words, T.LongType()), T.StructField(self.gone, T.LongType())])
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, names: Names) -> DataFrame:
+    """docs with spans: int64 triples (first word, last word, longest match), null where the text is clean."""
+    schema, column = T.StructType([*docs.schema.fields, T.StructField(names.spans, T.BinaryType())]), names.spans
+    out = docs.withColumn(column, F.lit(None).cast("binary"))
     for k, a in enumerate(automata(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast((a, bitmap(a.grams)))
 
@@ -220,7 +230,7 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     w = words(texts)
                     first, last, m = spans(a, w, bits)
                     if len(first):
-                        at, row = rows.schema.get_field_index("_gsa_spans"), w.row[first]
+                        at, row = rows.schema.get_field_index(column), w.row[first]
                         begin = np.searchsorted(w.row, np.arange(rows.num_rows))
                         old = rows.column(at).to_pylist()
                         for i in np.unique(row).tolist():
@@ -238,11 +248,11 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: Names) -> Iterator[pa.RecordBatch]:
     """Adds the cut text, the words of the text, and those that went."""
     for batch in batches:
         for rows, texts in text_slices(batch, "text"):
-            marks = rows.column(rows.schema.get_field_index("_gsa_spans")).to_pylist()
+            marks = rows.column(rows.schema.get_field_index(names.spans)).to_pylist()
             w = words(texts)
             begin = np.searchsorted(w.row, np.arange(rows.num_rows + 1))
             clean, gone = [], []
@@ -255,14 +265,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 clean.append(b"".join([*pieces, raw[at:]]).decode())
                 gone.append(int((last - first + 1).sum()))
             n = np.diff(begin)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(clean, pa.string()), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64())], names=[*rows.schema.names, "_gsa_text", "_gsa_words", "_gsa_gone"])
-
-
-def _cleaned(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The clean rows, and those with spans and what _cut adds."""
-    out = marked(docs, benchmark)
-    schema = T.StructType([*out.schema.fields, T.StructField("_gsa_text", T.StringType()), T.StructField("_gsa_words", T.LongType()), T.StructField("_gsa_gone", T.LongType())])
-    return out.filter("_gsa_spans is null"), out.filter("_gsa_spans is not null").mapInArrow(_cut, schema)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(clean, pa.string()), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64())], names=[*rows.schema.names, names.text, names.words, names.gone])
 
 
 def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +279,10 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document with spans: longest match, spans (first-last word, by commas), words, removed words, dropped, clean_text."""
-    hit = _cleaned(docs.select("doc_id", "text"), benchmark)[1]
+    own = docs.select("doc_id", "text")
+    names = Names(own)
+    out = marked(own, benchmark, names)
+    hit = out.filter(F.col(names.spans).isNotNull()).mapInArrow(lambda batches: _cut(batches, names), names.cut(out))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = hit.mapInArrow(_findings, f"doc_id {kind}, longest long, spans string, words long, removed long, clean_text string")
     return out.withColumn("dropped", F.col("removed") >= DROP_SHARE * F.col("words"))
@@ -284,24 +290,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the spans cut out and the documents that are mostly test items dropped, same columns, in one pass."""
-    out = marked(docs, benchmark)
-    added = T.StructType([*out.schema.fields, T.StructField("_gsa_text", T.StringType()), T.StructField("_gsa_words", T.LongType()), T.StructField("_gsa_gone", T.LongType())])
+    names = Names(docs)
+    out = marked(docs, benchmark, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = pa.array(np.array(batch.column(batch.schema.get_field_index("_gsa_spans")).is_valid()), pa.bool_())
+            hit = pa.array(np.array(batch.column(batch.schema.get_field_index(names.spans)).is_valid()), pa.bool_())
             clean = batch.filter(pa.compute.invert(hit))
             if clean.num_rows:
                 n = clean.num_rows
                 text = clean.column(clean.schema.get_field_index("text"))
-                yield pa.RecordBatch.from_arrays([*clean.columns, text, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=[*clean.schema.names, "_gsa_text", "_gsa_words", "_gsa_gone"])
-            yield from _cut(iter([batch.filter(hit)]))
+                yield pa.RecordBatch.from_arrays([*clean.columns, text, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=[*clean.schema.names, names.text, names.words, names.gone])
+            yield from _cut(iter([batch.filter(hit)]), names)
 
-    done = out.mapInArrow(run, added).filter(F.coalesce(F.col("_gsa_gone") < DROP_SHARE * F.col("_gsa_words"), F.lit(True)))
+    done = out.mapInArrow(run, names.cut(out)).filter(F.coalesce(F.col(names.gone) < DROP_SHARE * F.col(names.words), F.lit(True)))
     length = dict(docs.dtypes).get("n_chars")
     if length in ("int", "bigint"):
-        done = done.withColumn("n_chars", F.when(F.col("_gsa_spans").isNotNull(), F.length("_gsa_text").cast(length)).otherwise(F.col("n_chars")))
-    return done.withColumn("text", F.col("_gsa_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        done = done.withColumn("n_chars", F.when(F.col(names.spans).isNotNull(), F.length(names.text).cast(length)).otherwise(F.col("n_chars")))
+    return done.withColumn("text", F.col(names.text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 _WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"

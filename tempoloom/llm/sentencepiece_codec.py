@@ -33,6 +33,7 @@ from tempoloom.llm.tokens import buffers, span_hash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 PART = 1 << 16  # bytes of words whose lattice is searched at once
+BLOCK = 1 << 14  # bytes of a longer word whose lattice is searched at once
 SLICE = 1 << 19  # bytes of text that are encoded at once
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
@@ -76,6 +77,7 @@ class Model:
     text: np.ndarray  # bytes of all pieces as decoded
     offset: np.ndarray
     by_word: bool
+    longest: int  # bytes of the longest piece
 
 
 def trie(words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,19 +150,12 @@ def load(path: str = MODEL) -> Model:
     shown = [bytes([byte.searchsorted(k)]) if kind == BYTE else b"" if kind in (UNKNOWN, CONTROL) else p.replace(MARKER, " ").encode() for k, (p, _, kind) in enumerate(pieces)]
     by_word = not any(b" " in p.lstrip(b" ") for p, _ in plain)
     least = min(score[k] for _, k in plain)
-    return Model(*trie(plain), score, float(least) - 10, byte, np.frombuffer(b"".join(shown), np.uint8), np.cumsum([0, *map(len, shown)]), by_word)
+    return Model(*trie(plain), score, float(least) - 10, byte, np.frombuffer(b"".join(shown), np.uint8), np.cumsum([0, *map(len, shown)]), by_word, max(len(p) for p, _ in plain))
 
 
-def _viterbi(m: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best ids of disjoint spans of data, in order, and the count of ids of each span."""
+def _lattice(m: Model, data: np.ndarray, head: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, piece or -1, log score) of the pieces that start at the characters ``head`` and end by ``stop``, and each character's end."""
     n = len(data)
-    owner = np.full(n, -1, np.int64)
-    stop = np.zeros(n, np.int64)
-    size = end - start
-    flat = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    owner[flat] = np.repeat(np.arange(len(start)), size)
-    stop[flat] = np.repeat(end, size)
-    head = flat[(data[flat] & 0xC0) != 0x80]
     pos, node, at = head, np.zeros(len(head), np.int64), head
     ends, begins, which = [], [], []
     while len(at):
@@ -181,10 +176,43 @@ def _viterbi(m: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     single = np.zeros(n + 1, bool)
     single[b0[e0 == last[b0]]] = True
     alone = ~single[head]
-    b = np.concatenate([b0, head[alone]])
-    e = np.concatenate([e0, last[head[alone]]])
     k = np.concatenate([k0, np.full(alone.sum(), -1)])
-    gain = np.where(k >= 0, m.score[k], m.unknown)
+    return np.concatenate([b0, head[alone]]), np.concatenate([e0, last[head[alone]]]), k, np.where(k >= 0, m.score[k], m.unknown), last
+
+
+def _long(m: Model, data: np.ndarray) -> np.ndarray:
+    """Ids of one long span: its lattice is built and searched in blocks of BLOCK bytes, with the scores of one piece's length ahead."""
+    n, reach = len(data), max(m.longest, 4)
+    back, came = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    ahead = [0.0] + [-np.inf] * (BLOCK + reach)  # best scores from the block's first byte on
+    for a in range(0, n, BLOCK):
+        part = data[a : min(n, a + BLOCK + reach)]
+        own = part[: min(BLOCK, n - a)]
+        b, e, k, gain, _ = _lattice(m, part, np.flatnonzero((own & 0xC0) != 0x80), np.full(len(part), len(part)))
+        order = np.argsort(b, kind="stable")
+        for i, j, piece, g in zip(b[order].tolist(), e[order].tolist(), k[order].tolist(), gain[order].tolist()):
+            x = ahead[i] + g
+            if x > ahead[j]:
+                ahead[j], back[a + j], came[a + j] = x, a + i, piece
+        ahead = ahead[BLOCK:] + [-np.inf] * BLOCK
+    ids, at = [], n
+    while at:
+        p, piece = int(back[at]), int(came[at])
+        ids.append([piece] if piece >= 0 else m.byte[data[p:at]].tolist())
+        at = p
+    return np.array([x for piece in reversed(ids) for x in piece], np.int64)
+
+
+def _viterbi(m: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best ids of disjoint spans of data, in order, and the count of ids of each span."""
+    n = len(data)
+    owner = np.full(n, -1, np.int64)
+    stop = np.zeros(n, np.int64)
+    size = end - start
+    flat = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    owner[flat] = np.repeat(np.arange(len(start)), size)
+    stop[flat] = np.repeat(end, size)
+    b, e, k, gain, last = _lattice(m, data, flat[(data[flat] & 0xC0) != 0x80], stop)
     depth = b - start[owner[b]]
     order = np.argsort(depth, kind="stable")
     b, e, k, gain, depth = b[order], e[order], k[order], gain[order], depth[order]
@@ -222,11 +250,15 @@ def _viterbi(m: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) ->
 
 
 def _in_parts(m: Model, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """_viterbi over spans packed into parts of about PART bytes, so that the lattice stays small."""
-    part = (np.cumsum(size) - size) // PART
-    bounds = np.flatnonzero(np.diff(part)) + 1
+    """_viterbi over spans packed into parts of about PART bytes, so that the lattice stays small; a longer span by itself."""
+    part, large = (np.cumsum(size) - size) // PART, size > PART
+    bounds = np.flatnonzero((np.diff(part) > 0) | large[1:] | large[:-1]) + 1
     ids, counts = [], []
     for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(start)]):
+        if large[a]:
+            ids.append(_long(m, data[start[a] : start[a] + size[a]]))
+            counts.append(np.array([len(ids[-1])]))
+            continue
         n = size[a:b]
         begin = np.cumsum(n) - n
         packed = data[np.repeat(start[a:b] - begin, n) + np.arange(n.sum())]
