@@ -8,9 +8,9 @@ Every occurrence but the first (by doc_id, then place) of a run of SPAN words or
 3. The stretches' words get integer names, and their suffixes are sorted by the difference cover {1, 2} mod 3: sampled
    triples are sorted and named, the strings of names are sorted the same way, and the remaining suffixes are merged by
    (first name, rank of the rest). As only SPAN words are compared in the end, the recursion stops where a triple of
-   names covers them; suffixes that agree so far are ties.
-4. Adjacent suffixes are compared in their first SPAN words (by 64-bit hash); in each run the first by (doc_id, place)
-   stays and the others are repeats.
+   names covers them; suffixes that agree so far are ties. The result is the order of prefixes, not a whole suffix array.
+4. Adjacent suffixes are compared in their first SPAN words (by 64-bit hash, which only neighbours in this order can
+   meet in); in each run the first by (doc_id, place) stays and the others are repeats.
 
 Every step keeps one table of NumPy arrays for each partition in the shared checkpoint folder. Tasks send their distinct
 keys, sorted and cut at sampled splitters, to the partition that ranks them, and get the ranks back, so a key that is
@@ -18,8 +18,8 @@ frequent costs one record a task. Splitters are 20 keys a partition.
 
 Defined results: rows with a null doc_id or text take no part; a text shorter than SPAN words has no repeats; repeated
 rows (equal doc_id and text) count once; a doc_id with several texts counts as several documents; repeats within one
-text count; case and punctuation don't (words are those of ``tokens``); other columns are ignored. An empty table gives
-no rows.
+text count; case and punctuation don't (words are those of ``tokens``); ids may be of any type that has an order; other
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempoloom.llm.common import checked_join, checkpoint, checkpoint_dir, partitions, text_slices
 from tempoloom.llm.tokens import U, Words, mix, words
@@ -46,13 +46,20 @@ SAMPLES = 20
 Arrays = dict[str, np.ndarray]
 
 
-def grams(w: Words, k: int) -> np.ndarray:
+def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on; those that leave the row or the slice are to be ignored."""
-    n = len(w.hash)
-    g, p = np.zeros(n, U), U(0x9E3779B97F4A7C15)
-    for j in range(k):
-        g[: n - j] = g[: n - j] * p + w.hash[j:]
-    return mix(g)
+    n, have, p = len(h), 0, 0x9E3779B97F4A7C15
+    g, part, size = np.zeros(n, U), h.copy(), 1  # of the words so far, and of size words, a power of two
+    while True:
+        if k & size:  # the words so far come behind
+            g[: max(n - size, 0)] = part[: max(n - size, 0)] * U(pow(p, have, 1 << 64)) + g[size:] if have else part[: max(n - size, 0)]
+            if not have:
+                g[max(n - size, 0) :] = part[max(n - size, 0) :]
+            have += size
+        if size * 2 > k:
+            return mix(g)
+        part[: max(n - size, 0)] = part[: max(n - size, 0)] * U(pow(p, size, 1 << 64)) + part[size:]
+        size *= 2
 
 
 def _slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
@@ -69,7 +76,7 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
     n, width = len(w.hash), SPAN - GRAM + 1
     if n < SPAN:
         return np.empty(0, np.int64), np.empty(0, U)
-    g = grams(w, GRAM)[: n - GRAM + 1]
+    g = grams(w.hash, GRAM)[: n - GRAM + 1]
     low = _slide(g, width, np.minimum)  # of the window that starts at each word
     low[w.row[: len(low)] != w.row[SPAN - 1 : SPAN - 1 + len(low)]] = 0
     pad = np.zeros(width - 1, U)
@@ -103,23 +110,23 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
+    """Arrays that share the memory of data."""
     x, out = io.BytesIO(data), []
     while x.tell() < len(data):
-        out.append(np.lib.format.read_array(x, allow_pickle=False))
+        np.lib.format.read_magic(x)
+        (n,), _, kind = np.lib.format.read_array_header_1_0(x)
+        out.append(np.frombuffer(data, kind, n, x.tell()))
+        x.seek(n * kind.itemsize, 1)
     return out
 
 
 class Store:
-    """Tables in the shared folder: save() runs a job and writes, load() reads a partition's arrays in a task."""
+    """Tables of a file of arrays for each partition in the shared folder, which tasks write and read by themselves."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.n = spark, partitions(spark)
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/suffixes-{uuid.uuid4().hex}"
 
-    def save(self, name: str, df: DataFrame) -> None:
-        """df: one row (part, data) for each partition."""
-        df.write.partitionBy("part").parquet(f"{self.base}/{name}")
-
     def clear(self, names: list[str] | None = None) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for p in [f"{self.base}/{x}" for x in names] if names else [self.base]:
@@ -132,16 +139,28 @@ class Store:
         return self.spark.range(0, self.n, 1, self.n)
 
 
+def save(base: str, name: str, part: int, arrays: list[np.ndarray]) -> None:
+    """A file is written under a name of its own and then moved, so that a task that runs twice leaves one whole file."""
+    fs, path = _filesystem(f"{base}/{name}")
+    fs.create_dir(path)
+    own = f"{path}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression="zstd") as out:
+        for a in arrays:
+            np.lib.format.write_array(out, np.ascontiguousarray(a), allow_pickle=False)
+    try:
+        fs.move(own, f"{path}/{part}")
+    except OSError:  # another run of the task was first
+        if fs.get_file_info(f"{path}/{part}").type == pyarrow.fs.FileType.NotFound:
+            raise
+        fs.delete_file(own)
+
+
 def load(base: str, name: str, part: int) -> list[np.ndarray]:
-    fs, path = _filesystem(f"{base}/{name}/part={part}")
+    fs, path = _filesystem(f"{base}/{name}/{part}")
     if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
         return []
-    out: list[np.ndarray] = []
-    for f in sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(path)) if x.path.endswith(".parquet")):
-        with fs.open_input_file(f) as src:
-            for x in pq.ParquetFile(src).read(columns=["data"]).column(0):
-                out += _unpack(x.as_py())
-    return out
+    with fs.open_input_stream(path, compression="zstd") as src:
+        return _unpack(src.read())
 
 
 MESSAGE = "part int, frm int, data binary"
@@ -151,6 +170,10 @@ def _rows(parts: list[int], frm: list[int], data: list[bytes]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(frm, pa.int32()), pa.array(data, pa.binary())], names=["part", "frm", "data"])
 
 
+def _saved(part: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
+
+
 def _received(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
     got: dict[int, list[np.ndarray]] = {}
     for b in batches:
@@ -159,9 +182,24 @@ def _received(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
     return got
 
 
+def packed(fields: list[np.ndarray]) -> list[np.ndarray]:
+    """Fields of the same order and equality, neighbours joined into 64 bits where they fit."""
+    out: list[np.ndarray] = []
+    room = 0
+    for f in fields:
+        bits = f.itemsize * 8 if f.dtype.kind == "u" else 64
+        if out and bits <= room:
+            out[-1] = (out[-1].astype(U) << U(bits)) | f.astype(U)
+            room -= bits
+        else:
+            out.append(f)
+            room = 64 - bits
+    return out
+
+
 def distinct(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the distinct keys, sorted, and each row's place among them."""
-    n = len(fields[0])
+    n, fields = len(fields[0]), packed(fields)
     order = np.lexsort(fields[::-1])
     new = np.zeros(n, bool)
     new[:1] = True
@@ -188,28 +226,30 @@ def _cuts(fields: list[np.ndarray], splitters: list[tuple]) -> list[int]:
 
 
 def ranked(
-    store: Store, name: str, keys: Callable[[int], list[np.ndarray]], rank: Callable[[list[np.ndarray], int], list[np.ndarray]], use: Callable[[int, np.ndarray, list[np.ndarray]], list[np.ndarray]], by: int, unique: int
+    store: Store, name: str, keys: Callable[[int], tuple[list[np.ndarray], list[np.ndarray]]], rank: Callable[[list[np.ndarray], int], list[np.ndarray]], use: Callable[[int, np.ndarray, list[np.ndarray], list[np.ndarray]], list[np.ndarray]], by: int, unique: int
 ) -> None:
     """One step. keys(part) gives fields, of which the first ``by`` choose the partition that ranks a key and the first
-    ``unique`` are what tells keys apart; rank(fields, part) gives the answers to a partition's keys; use(part, place,
-    answers) gives what is saved, place[i] being the answer to the part's i-th key."""
-    n, base = store.n, store.base
+    ``unique`` are what tells keys apart, and arrays that are kept for use(); rank(fields, part) gives the answers to a
+    partition's keys; use(part, place, answers, kept) gives what is saved, place[i] being the answer to the part's i-th key.
 
-    def sorted_keys(p: int) -> tuple[list[np.ndarray], np.ndarray]:
-        fields = keys(p)
-        if not fields or not len(fields[0]):
-            return [], np.empty(0, np.int64)
-        first, place = distinct(fields[:unique])
-        return [f[first] for f in fields], place
+    Keys are sorted once: the first job saves, for each partition, the distinct keys in order, the places, and a sample."""
+    n, base = store.n, store.base
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in (x for b in batches for x in b.column(0).to_pylist()):
-            fields, _ = sorted_keys(p)
+            fields, kept = keys(p)
             m = len(fields[0]) if fields else 0
-            at = np.unique(np.linspace(0, m - 1, SAMPLES).astype(np.int64)) if m else []
+            place = np.empty(0, np.int64)
+            if m:
+                first, place = distinct(fields[:unique])
+                fields, m = [f[first] for f in fields], len(first)
+                place = place.astype(np.uint32) if m < 1 << 32 else place
+            at = np.unique(np.linspace(0, m - 1, SAMPLES).astype(np.int64)) if m else np.empty(0, np.int64)
+            save(base, f"{name}-keys", p, fields if m else [])
+            save(base, f"{name}-places", p, [place, *kept])
             yield _rows([0], [p], [_pack([np.array([int(x) for x in f[at]], U) for f in fields[:by]] + [np.array([m])]) if m else b""])
 
-    found = [_unpack(r[0]) for r in store.each().mapInArrow(sample, MESSAGE).select("data").collect() if r[0]]
+    found = [_unpack(r[0]) for r in store.each().mapInArrow(sort, MESSAGE).select("data").collect() if r[0]]
     keyed = sorted((tuple(int(f[i]) for f in x[:by]), float(x[by][0]) / len(x[0])) for x in found for i in range(len(x[0])))
     splitters, total, so_far = [], sum(w for _, w in keyed), 0.0
     for key, w in keyed:
@@ -220,7 +260,7 @@ def ranked(
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in (x for b in batches for x in b.column(0).to_pylist()):
-            fields, _ = sorted_keys(p)
+            fields = load(base, f"{name}-keys", p)
             if not fields:
                 yield _rows([p], [-1], [b""])
                 continue
@@ -245,15 +285,16 @@ def ranked(
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _received(batches)
         p = TaskContext.get().partitionId()
-        _, place = sorted_keys(p)
+        place, *kept = load(base, f"{name}-places", p)
         answers = [np.concatenate([got[q][k] for q in sorted(got)]) for k in range(len(got[min(got)]))] if got else []
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_pack(use(p, place, answers))], pa.binary())], names=["part", "data"])
+        save(base, name, p, use(p, place, answers, kept))
+        yield _saved(p)
 
     sent = store.each().mapInArrow(send, MESSAGE).repartitionById(n, F.col("part"))
     back = sent.mapInArrow(answer, MESSAGE).repartitionById(n, F.col("part"))
-    store.save(name, back.mapInArrow(receive, "part int, data binary"))
+    back.mapInArrow(receive, "part int").write.format("noop").mode("overwrite").save()
     del sent, back
-    store.clear([f"none-{name}"])
+    store.clear([f"{name}-keys", f"{name}-places"])
 
 
 # --- strings of names
@@ -335,6 +376,20 @@ def merge_ranks(t0: np.ndarray, t1: np.ndarray, c: np.ndarray, a: np.ndarray, b:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last, keep_id, keep_first): words first..last of doc_id repeat those of keep_id from keep_first on."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        return _repeated_spans(docs.select("doc_id", "text"))
+    # ids of other types are numbered in their order, which partitions of a range sort and then number by themselves
+    ids = checkpoint(docs.select("doc_id").filter("doc_id is not null").distinct().orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("number")))
+    numbered = checked_join(docs.select("doc_id", "text"), ids, ["doc_id"], "inner").select(F.col("number").alias("doc_id"), "text")
+    found = _repeated_spans(numbered)
+    for column in ("doc_id", "keep_id"):
+        names = ids.select(F.col("number").alias(column), F.col("doc_id").alias("name"))
+        found = checked_join(found, names, [column], "inner").withColumn(column, F.col("name")).drop("name")
+    return found.select("doc_id", "first", "last", "keep_id", "keep_first")
+
+
+def _repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     store = Store(spark)
     n, base = store.n, store.base
@@ -383,10 +438,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     out[3].append(end - first)
                     out[4] += [w.hash[begin[i] + a : begin[i] + b] for a, b in zip(first, end)]
         p = TaskContext.get().partitionId()
-        kinds = (np.int64, np.uint32, np.int64, np.int64, U)
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_pack([np.concatenate([*x, np.empty(0, k)]).astype(k) for x, k in zip(out, kinds)])], pa.binary())], names=["part", "data"])
+        kinds = (np.int64, np.uint32, np.int64, np.int64)
+        *table, hashes = (*(np.concatenate([*x, np.empty(0, k)]).astype(k) for x, k in zip(out, kinds)), out[4])
+        order = np.lexsort((table[2], table[1], table[0]))
+        save(base, "stretches", p, [*(x[order] for x in table), np.concatenate([*(hashes[i] for i in order), np.empty(0, U)]).astype(U)])
+        yield _saved(p)
 
-    store.save("stretches", both.repartitionById(n, F.col("part")).sortWithinPartitions("kind").mapInArrow(stretches, "part int, data binary"))
+    both.repartitionById(n, F.col("part")).sortWithinPartitions("kind").mapInArrow(stretches, "part int").write.format("noop").mode("overwrite").save()
     del found, again, hits, both
     store.clear(["none"])
 
@@ -409,11 +467,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             size = inner(size)
         return size
 
-    def whole(p: int, place: np.ndarray, answers: list[np.ndarray]) -> list[np.ndarray]:
+    def whole(p: int, place: np.ndarray, answers: list[np.ndarray], kept: list[np.ndarray]) -> list[np.ndarray]:
         return [answers[0][place] if answers else np.empty(0, kind)]
 
     if total:
-        ranked(store, "x0", lambda p: [strings(p)[4]], lambda f, q: [name(triple_ranks(f), q)], whole, 1, 1)
+        ranked(store, "x0", lambda p: ([strings(p)[4]], []), lambda f, q: [name(triple_ranks(f), q)], whole, 1, 1)
 
     def triples(k: int, p: int, every: bool) -> list[np.ndarray]:
         x, size = load(base, f"x{k}", p)[0], size_at(k, p)
@@ -423,17 +481,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     for k in range(len(need) - 1):
 
-        def to_inner(p: int, place: np.ndarray, answers: list[np.ndarray], k: int = k) -> list[np.ndarray]:
+        def to_inner(p: int, place: np.ndarray, answers: list[np.ndarray], kept: list[np.ndarray], k: int = k) -> list[np.ndarray]:
             _, to = sampled(size_at(k, p))
             out = np.zeros(len(to), kind)
             if answers:
                 out[to] = answers[0][place]
             return [out]
 
-        ranked(store, f"x{k + 1}", lambda p, k=k: triples(k, p, False), lambda f, q: [name(triple_ranks(f), q)], to_inner, 2, 3)
+        ranked(store, f"x{k + 1}", lambda p, k=k: (triples(k, p, False), []), lambda f, q: [name(triple_ranks(f), q)], to_inner, 2, 3)
     deep = len(need) - 1
     if total:
-        ranked(store, f"r{deep}", lambda p: triples(deep, p, True), lambda f, q: [name(triple_ranks(f), q)], whole, 2, 3)
+        ranked(store, f"r{deep}", lambda p: (triples(deep, p, True), []), lambda f, q: [name(triple_ranks(f), q)], whole, 2, 3)
 
     def classes(k: int, p: int) -> list[np.ndarray]:
         x, size, under = load(base, f"x{k}", p)[0], size_at(k, p), load(base, f"r{k + 1}", p)[0]
@@ -446,7 +504,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return [x, ahead(x, left, 1), c, np.where(c == 0, r1, r), np.where(c == 1, r1, r2)]
 
     for k in range(deep - 1, 0, -1):
-        ranked(store, f"r{k}", lambda p, k=k: classes(k, p), lambda f, q: [name(merge_ranks(*f), q)], whole, 2, 5)
+        ranked(store, f"r{k}", lambda p, k=k: (classes(k, p), []), lambda f, q: [name(merge_ranks(*f), q)], whole, 2, 5)
         store.clear([f"r{k + 1}", f"x{k + 1}"])
 
     def windows(p: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -454,16 +512,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         doc, sub, first, size, h = strings(p)
         owner, at, left = places(size)
         full = np.flatnonzero(left >= SPAN)
-        g, mul = np.zeros(len(full), U), U(0x9E3779B97F4A7C15)
-        for j in range(SPAN):
-            g = g * mul + h[full + j]
-        return full, [mix(g), doc[owner[full]], sub[owner[full]], (first[owner[full]] + at[full]).astype(np.int64)]
+        return full, [grams(h, SPAN)[full], doc[owner[full]], sub[owner[full]], (first[owner[full]] + at[full]).astype(np.int64)]
 
-    def last_keys(p: int) -> list[np.ndarray]:
+    def last_keys(p: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         full, more = windows(p)
-        fields = [f[full] for f in classes(0, p)] + more
-        order = np.lexsort(fields[:5:-1])  # so that of equal keys the first document's comes first
-        return [f[order] for f in fields]
+        fields = [f[full] for f in classes(0, p)] + more  # in order of documents and places, so that of equal keys the first comes first
+        return fields, more[1:]
 
     def compare(f: list[np.ndarray], q: int) -> list[np.ndarray]:
         """The first occurrence of each key's SPAN words."""
@@ -477,14 +531,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         head = by_run[np.searchsorted(run[by_run], np.arange(int(new.sum())))]
         return [f[k][head][run] for k in (6, 7, 8)]
 
-    def spans(p: int, place: np.ndarray, answers: list[np.ndarray]) -> list[np.ndarray]:
+    def spans(p: int, place: np.ndarray, answers: list[np.ndarray], kept: list[np.ndarray]) -> list[np.ndarray]:
         if not answers:
             return [np.empty(0, np.int64)] * 5
-        f = last_keys(p)
-        doc, sub, at = f[6], f[7], f[8]
+        doc, sub, at = kept
         kd, ks, ka = (x[place] for x in answers)
-        order = np.lexsort((at, sub, doc))
-        order = order[((doc != kd) | (sub != ks) | (at != ka))[order]]
+        order = np.flatnonzero((doc != kd) | (sub != ks) | (at != ka))
         doc, sub, at, kd, ks, ka = (x[order] for x in (doc, sub, at, kd, ks, ka))
         same = lambda x, step: x[1:] == x[:-1] + x.dtype.type(step)
         start = np.flatnonzero(np.concatenate([[True], ~(same(doc, 0) & same(sub, 0) & same(at, 1) & same(kd, 0) & same(ks, 0) & same(ka, 1))])) if len(at) else np.empty(0, np.int64)
