@@ -11,7 +11,9 @@ agree in a register with the probability of their weighted Jaccard similarity.
 Signatures are cut into BANDS bands. Documents of equal bags count as one. Of each bucket, each document is first
 compared with the least id among its buckets. Then, as long as a bucket has members of more than one component, its
 components' least members are compared with the least of them (first round), and up to PIVOTS of its members with all
-members of other components (later rounds); a pivot that was compared with all leaves the bucket. Pairs that are in one
+members of other components (later rounds); a pivot that was compared with all leaves the bucket. Before the later rounds
+buckets of more than WIDE members, mostly documents that share a passage and little else, are cut by prefix filtering:
+members stay together only where they share one of their rarest tokens, as all similar ones do. Pairs that are in one
 component already can't change the groups, so the groups are those of all bucket pairs, with no cap, and no round emits
 more than PIVOTS rows for a member. Buckets and ids that a large share of all rows meet in are salted.
 
@@ -30,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempoloom.llm.common import BROADCAST_ROWS, checked_join, checkpoint, components, heavy_keys, salted_join, text_slices
+from tempoloom.llm.common import BROADCAST_ROWS, HEAVY_ROWS, checked_join, checkpoint, components, heavy_keys, salted_join, sized_join, text_slices
 from tempoloom.llm.tokens import U, mix, shingles, words
 
 SHINGLE = 3
 BANDS, ROWS = 40, 3
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.4
-PIVOTS = 32
+PIVOTS = 128
+#: Beyond so many members, a bucket that is still open after the first round is cut by the words that similar documents must share.
+WIDE = 16
+CELLS = 1 << 18
 
 
 def bags(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +168,11 @@ def bags_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (a, b), a < b and checkpointed, whose multisets overlap enough; both ends may be hubs."""
-    hubs = {c: heavy_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c]) for c in ("a", "b")}
+    """The pairs (a, b), a < b and checkpointed, whose multisets overlap enough; both ends may be hubs. Few pairs shuffle only their own bags."""
+    n = pairs.count()
+    hubs = {c: heavy_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c]) if n > HEAVY_ROWS else None for c in ("a", "b")}
+    if n <= BROADCAST_ROWS // 2:
+        bags = checkpoint(bags.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "doc_id", "left_semi"))
     kind = pairs.schema["a"].dataType.simpleString()
     with_b = salted_join(pairs, bags.toDF("b", "bag_b"), ["b"], ["a"], hubs["b"])
     both = salted_join(with_b, bags.toDF("a", "bag_a"), ["a"], ["b"], hubs["a"])
@@ -179,6 +187,56 @@ def _in_buckets(member: DataFrame, buckets: DataFrame, longs: int = 1) -> DataFr
     return checkpoint(salted_join(member, buckets.drop("n"), ["bucket"], ["doc_id"], heavy_keys(buckets, ["bucket"])))
 
 
+def _tokens(bag: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a set: the i-th copy of a shingle is a token of its own."""
+    first = np.concatenate([[True], bag[1:] != bag[:-1]])
+    at = np.arange(len(bag))
+    return mix(bag + (at - at[first][np.cumsum(first) - 1]).astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def prefix(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The tokens of which two sets share one if their Jaccard similarity reaches THRESHOLD: all but the last of an order,
+    here of the (estimated) number of documents that have them, rarest first. Any order that all sets follow is right."""
+    order = np.lexsort((tokens, count[(tokens & U(len(count) - 1)).astype(np.int64)]))
+    return tokens[order[: len(tokens) - int(np.ceil(THRESHOLD * len(tokens) - 1e-9)) + 1]]
+
+
+def narrowed(member: DataFrame, comp: DataFrame, bags: DataFrame) -> DataFrame:
+    """(doc_id, bucket) with the same similar pairs in common buckets: members of a bucket of more than WIDE meet only where they share a token of their prefixes."""
+    kind = bags.schema["doc_id"].dataType.simpleString()
+    hot = checkpoint(member.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > WIDE))
+    if not hot.limit(1).count():
+        return member
+    wide = checkpoint(sized_join(member, hot, ["bucket"], ["doc_id"]))
+    own = checkpoint(checked_join(bags, checkpoint(wide.select("doc_id").distinct()), ["doc_id"], "left_semi"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount((_tokens(np.frombuffer(x.as_py(), U)) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    got = own.select("bag").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    count = np.zeros(CELLS, np.int64)
+    count[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    shared = bags.sparkSession.sparkContext.broadcast(count)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            found = [prefix(_tokens(np.frombuffer(x.as_py(), U)), shared.value).view(np.int64) for x in batch.column(batch.schema.get_field_index("bag"))]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([ids.take(row), pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], names=["doc_id", "token"])
+
+    token = own.mapInArrow(first, f"doc_id {kind}, token long").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "token", F.coalesce("comp", "doc_id").alias("comp"))
+    again = token.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high").select("token", "n")
+    token = checkpoint(sized_join(token.select("doc_id", "token"), checkpoint(again), ["token"], ["doc_id"]))
+    cut = wide.join(token, "doc_id").select("doc_id", F.xxhash64("bucket", "token").alias("bucket"))
+    return checked_join(member, hot.select("bucket"), ["bucket"], "left_anti").select("doc_id", "bucket").unionByName(cut)
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(id, comp) for every document that is in a group of near duplicates; comp is the group's least doc_id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -195,15 +253,16 @@ def groups(docs: DataFrame) -> DataFrame:
     star = checkpoint(member.groupBy("doc_id").agg(F.min("low").alias("a")).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")))
     comp, tried, member, turn = components(verify(star, bags)), star, member.select("doc_id", "bucket"), 0
     while True:
+        if turn == 1:
+            member = narrowed(member, comp, bags)
         placed = checkpoint(member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("comp", "doc_id").alias("comp")))
-        one = F.struct("doc_id", "comp")
-        slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(PIVOTS))
-        pivots = [F.min(one)] if not turn else [F.min(F.when(slot == k, one)) for k in range(PIVOTS)]
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.array_compact(F.array(*pivots)).alias("pivots")).filter("low <> high")
+        slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(PIVOTS)) if turn else F.lit(0)
+        slots = placed.groupBy("bucket", slot.alias("slot")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.min(F.struct("doc_id", "comp")).alias("p"))
+        mixed = slots.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.collect_list("p").alias("pivots")).filter("low <> high")  # PIVOTS at most
         mixed = checkpoint(mixed.select("bucket", "n", "pivots"))
         if not mixed.limit(1).count():
             break
-        open_ = _in_buckets(placed, mixed, 2 * len(pivots))
+        open_ = _in_buckets(placed, mixed, 2 * PIVOTS if turn else 2)
         asked = open_ if turn else _in_buckets(open_.groupBy("bucket", "comp").agg(F.min("doc_id").alias("doc_id")), mixed, 2)
         more = asked.select("doc_id", "comp", F.explode("pivots").alias("p")).filter("p.comp <> comp")
         more = more.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()

@@ -139,3 +139,15 @@ def test_ids_of_any_type_and_columns_of_any_name(spark):
     assert [tuple(r) for r in N.near_copies(docs).collect()] == [("d0", "d1")]
     kept = N.drop_near_copies(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {"d0", "d2", "d3"}
+
+
+def test_similar_multisets_share_a_token_of_their_prefixes():
+    g = np.random.default_rng(3)
+    U = np.uint64
+    for _ in range(3000):
+        a, b = (np.sort(g.integers(0, g.integers(2, 30), g.integers(1, 25))).astype(U) for _ in range(2))
+        count = g.integers(0, 4, 16)  # any order will do
+        if N.overlap(a, b) >= N.THRESHOLD:
+            x, y = (N.prefix(N._tokens(v), count) for v in (a, b))
+            assert len(np.intersect1d(x, y))
+        assert len(set(N._tokens(a).tolist())) == len(a)
