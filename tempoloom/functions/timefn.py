@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 MONTH = r"^[0-9]{4}-(0[1-9]|1[0-2])$"
 UNKNOWN = "TIME_UNKNOWN"
 NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-#: Quarters, days, months, years and month names, in the order in which they are looked for.
-IN_TEXT = r"(?i)([0-9]{4}[ _-]?Q[1-4]|Q[1-4][ _-]?[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}-[0-9]{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December)[ _-]?[0-9]{4}|[0-9]{4})"
+_YEAR = "(?:19|20)[0-9]{2}"
+#: Quarters, days, months, named months (also cut to three letters) and years from 1900 to 2099, of whole numbers only.
+IN_TEXT = rf"(?i)(?<![0-9])({_YEAR}[ _-]?Q[1-4]|Q[1-4][\s_-]*{_YEAR}|{_YEAR}-[0-9]{{2}}-[0-9]{{2}}|{_YEAR}-[0-9]{{2}}|(?<![a-z])(?:{'|'.join([*NAMES, *(n[:3] for n in NAMES)])})[\s_-]*{_YEAR}|{_YEAR})(?![0-9])"
 
 
 def parse_month(c: Column) -> Column:
@@ -68,7 +69,7 @@ def suffix(date: Column) -> Column:
 def find_time(path: Column, content: Column, head: int = 1000) -> Column:
     """The first time in the path, else in the first characters of the content, else UNKNOWN; without spaces, quarters year first."""
     got = F.coalesce(F.nullif(F.regexp_extract(path, IN_TEXT, 1), F.lit("")), F.nullif(F.regexp_extract(F.substring(content, 1, head), IN_TEXT, 1), F.lit("")), F.lit("UNKNOWN"))
-    tight = F.regexp_replace(got, "[ _]", "")
+    tight = F.regexp_replace(got, r"[\s_]", "")
     return F.regexp_replace(tight, "(?i)^(Q[1-4])-?([0-9]{4})$", "$2$1")
 
 
@@ -77,7 +78,7 @@ def to_month(found: Column) -> Column:
     lower = F.lower(found)
     quarter = F.regexp_extract(lower, "^([0-9]{4})-?q([1-4])$", 2)
     year = F.regexp_extract(lower, "([0-9]{4})", 1)
-    number = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.regexp_extract(lower, "^([a-z]+)", 1))
+    number = F.array_position(F.array(*[F.lit(n[:3]) for n in NAMES]), F.substring(F.regexp_extract(lower, "^([a-z]+)", 1), 1, 3))
     named = F.when(number > 0, F.format_string("%s-%02d", year, number))
     return F.coalesce(parse_month(F.substring(found, 1, 7)), F.when(quarter != "", F.format_string("%s-%02d", year, (F.nullif(quarter, F.lit("")).cast("int") * 3))), named)
 

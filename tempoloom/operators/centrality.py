@@ -17,12 +17,22 @@ WEIGHTS = (0.3, 0.4, 0.3)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    """A reliable checkpoint in the session's folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Local mode gets a folder where the session names none, as in tests; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(in + out, parallel edges counted) / (n - 1); 1 for a single node, as usual."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("d"))

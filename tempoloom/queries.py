@@ -5,16 +5,19 @@ The graph is that of orders: nations and market segments are entities, each orde
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempoloom.functions import textfn, timefn, vectorfn
+from tempoloom.functions import scoring, textfn, timefn, vectorfn
 from tempoloom.operators import centrality, chunking, filters, graph, knn, ranking
 from tempoloom.plans import context, retrieve
-from tempoloom.plans.params import CentralityParams, QueryParams
-from tempoloom.sources import extract
+from tempoloom.plans.engine import Engine
+from tempoloom.plans.params import CentralityParams, ChunkParams, QueryParams
+from tempoloom.sources import extract, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,6 +76,13 @@ def edges(spark: SparkSession, sf_dir: str, links: bool = True) -> DataFrame:
     return e.unionByName(graph.temporal_links(nodes(spark, sf_dir), e)) if links else e
 
 
+def _built(spark: SparkSession, sf_dir: str, links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, each computed once."""
+    n = centrality.checkpoint(nodes(spark, sf_dir))
+    e = centrality.checkpoint(graph.merge_edges(relation_mentions(spark, sf_dir)))
+    return n, centrality.checkpoint(e.unionByName(graph.temporal_links(n, e))) if links else e
+
+
 def with_vectors(df: DataFrame, spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     v = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = v.agg(F.count("*").alias("_n"))
@@ -274,7 +284,7 @@ def rejected_relations(spark, sf_dir):
 
 @query(f"WITH {G} SELECT src, dst, description, round(time_similarity, 6) AS time_similarity, time_1, time_2 FROM links")
 def temporal_links(spark, sf_dir):
-    e = graph.temporal_links(nodes(spark, sf_dir), edges(spark, sf_dir, False))
+    e = graph.temporal_links(*_built(spark, sf_dir, False))
     return e.select("src", "dst", "description", F.round("time_similarity", 6).alias("time_similarity"), "time_1", "time_2")
 
 
@@ -286,12 +296,12 @@ def entity_timeline(spark, sf_dir):
 @query(f"""WITH {G}, a AS (SELECT count(*) AS n FROM nodes), b AS (SELECT count(*) AS m, count(*) FILTER (is_temporal) AS tm FROM edges)
   SELECT n AS num_nodes, n AS dated_nodes, n AS entity_nodes, m AS num_edges, tm AS temporal_edges, round(2.0 * m / n, 2) AS avg_degree, round(m::DOUBLE / (n * (n - 1)), 4) AS density FROM a, b""")
 def graph_totals(spark, sf_dir):
-    return graph.totals(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return graph.totals(*_built(spark, sf_dir))
 
 
 @query(f"WITH {G} SELECT k AS keyword, count(*) AS n FROM (SELECT unnest(string_split(type, ', ')) AS k FROM edges) GROUP BY 1")
 def relation_keyword_counts(spark, sf_dir):
-    return graph.counts_by_keyword(edges(spark, sf_dir))
+    return graph.counts_by_keyword(_built(spark, sf_dir)[1])
 
 
 @query(f"WITH {G} SELECT type, count(*) AS n FROM nodes GROUP BY 1")
@@ -311,12 +321,12 @@ def graph_validate(spark, sf_dir):
 
 @query(f"WITH {G} SELECT node_id, type FROM nodes JOIN (SELECT DISTINCT dst FROM rm WHERE src = 'CHINA__1996-03' AND keyword IN ('1-URGENT', '5-LOW')) ON dst = node_id")
 def neighbors_filtered(spark, sf_dir):
-    return graph.neighbors(nodes(spark, sf_dir), edges(spark, sf_dir), "CHINA__1996-03", ["1-URGENT", "5-LOW"]).select("node_id", "type")
+    return graph.neighbors(*_built(spark, sf_dir), "CHINA__1996-03", ["1-URGENT", "5-LOW"]).select("node_id", "type")
 
 
 @query(f"WITH {G} SELECT node_id, round(coalesce(d, 0)::DOUBLE / ((SELECT count(*) FROM nodes) - 1), 9) AS degree FROM nodes LEFT JOIN (SELECT x, count(*) AS d FROM (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) ON x = node_id")
 def degree_centrality(spark, sf_dir):
-    return centrality.degree(nodes(spark, sf_dir), edges(spark, sf_dir)).select("node_id", F.round("degree", 9).alias("degree"))
+    return centrality.degree(*_built(spark, sf_dir)).select("node_id", F.round("degree", 9).alias("degree"))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -328,40 +338,40 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(_pagerank_sql(10))
 def pagerank_10_rounds(spark, sf_dir):
-    return centrality.pagerank(nodes(spark, sf_dir), edges(spark, sf_dir), iterations=10, tolerance=0).select("node_id", F.round("pagerank", 9).alias("pagerank"))
+    return centrality.pagerank(*_built(spark, sf_dir), iterations=10, tolerance=0).select("node_id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query()
 def pagerank_all_rounds(spark, sf_dir):
-    return centrality.pagerank(centrality.checkpoint(nodes(spark, sf_dir)), centrality.checkpoint(edges(spark, sf_dir)), iterations=CentralityParams().pagerank_iterations)
+    return centrality.pagerank(*_built(spark, sf_dir), iterations=CentralityParams().pagerank_iterations)
 
 
 @query()
 def betweenness_of_nodes(spark, sf_dir):
-    return centrality.betweenness(nodes(spark, sf_dir), edges(spark, sf_dir))[0]
+    return centrality.betweenness(*_built(spark, sf_dir))[0]
 
 
 @query()
 def betweenness_of_edges(spark, sf_dir):
-    return centrality.betweenness(nodes(spark, sf_dir), edges(spark, sf_dir), 50)[1]
+    return centrality.betweenness(*_built(spark, sf_dir), 50)[1]
 
 
 @query()
 def combined_centrality(spark, sf_dir):
-    return centrality.combined(centrality.checkpoint(nodes(spark, sf_dir)), centrality.checkpoint(edges(spark, sf_dir)))[0]
+    return centrality.combined(*_built(spark, sf_dir))[0]
 
 
 @query(f"""WITH RECURSIVE {G}, both_ AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT node_id AS a, node_id AS c FROM nodes WHERE node_id = (SELECT min(node_id) FROM nodes) UNION SELECT b, c FROM walk JOIN both_ USING (a))
   SELECT node_id, coalesce(c, node_id) AS component FROM nodes LEFT JOIN walk ON a = node_id WHERE c IS NOT NULL""")
 def component_of_first_node(spark, sf_dir):
-    n = nodes(spark, sf_dir)
+    n, e = _built(spark, sf_dir)
     first = n.agg(F.min("node_id").alias("component"))
-    return centrality.components(n, edges(spark, sf_dir)).join(F.broadcast(first), "component").select("node_id", "component")
+    return centrality.components(n, e).join(F.broadcast(first), "component").select("node_id", "component")
 
 
 @query()
 def components_of_all_nodes(spark, sf_dir):
-    return centrality.components(centrality.checkpoint(nodes(spark, sf_dir)), centrality.checkpoint(edges(spark, sf_dir)))
+    return centrality.components(*_built(spark, sf_dir))
 
 
 # --- vectors
@@ -434,7 +444,8 @@ CONN_SQL = f"""ends AS (SELECT src AS node_id, place * 2 AS place, score FROM r1
 
 
 def _vector_graph(spark, sf_dir):
-    return with_vectors(nodes(spark, sf_dir), spark, sf_dir), with_vectors(edges(spark, sf_dir, False), spark, sf_dir, 7)
+    n, e = _built(spark, sf_dir, False)
+    return with_vectors(n, spark, sf_dir), with_vectors(e, spark, sf_dir, 7)
 
 
 @query(f"WITH {G}, {ENTITY_SQL} SELECT node_id, round(score, 6) AS score, place FROM e1")
@@ -499,9 +510,9 @@ def _hop_sql(i: int, front: str, seen: str) -> str:
 
 
 def _hops(spark, sf_dir, hops):
-    n = with_vectors(nodes(spark, sf_dir), spark, sf_dir)
-    e = with_vectors(edges(spark, sf_dir), spark, sf_dir, 7)
-    of_node = centrality.degree(n, e).withColumnRenamed("degree", "centrality")
+    n, e = _built(spark, sf_dir)
+    n, e = centrality.checkpoint(with_vectors(n, spark, sf_dir)), centrality.checkpoint(with_vectors(e, spark, sf_dir, 7))
+    of_node = centrality.checkpoint(centrality.degree(n, e).withColumnRenamed("degree", "centrality"))
     g = retrieve.Graph(n, e, of_node, e.select("src", "dst", F.lit(0.0).alias("betweenness")).distinct())
     seeds = retrieve.entity_search(n, query_vector(spark, sf_dir), NO_TIME)
     ents, _ = retrieve.expand(g, seeds, QueryParams(top_k=10, similarity_threshold=0.05, max_hops=hops), keep=centrality.checkpoint)
@@ -519,8 +530,8 @@ def two_hop_beam(spark, sf_dir):
 
 
 def _full(spark, sf_dir):
-    n = centrality.checkpoint(with_vectors(nodes(spark, sf_dir), spark, sf_dir))
-    e = centrality.checkpoint(with_vectors(edges(spark, sf_dir), spark, sf_dir, 7))
+    n, e = _built(spark, sf_dir)
+    n, e = centrality.checkpoint(with_vectors(n, spark, sf_dir)), centrality.checkpoint(with_vectors(e, spark, sf_dir, 7))
     p = CentralityParams()
     of_node, of_edge = centrality.combined(n, e, p.node_pivots, p.edge_pivots, p.pagerank_iterations)
     q = query_vector(spark, sf_dir)
@@ -608,6 +619,188 @@ def chunk_budget_context_found(spark, sf_dir):
     return context.chunk_lines(found_chunks(spark, sf_dir), 1200).select("chunk_id", "line", "running")
 
 
+# --- the same operators where their rules bite
+
+MONTHS_ODD = "CASE o_orderkey % 5 WHEN 0 THEN ' ' || d || ' ' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN substr(d, 1, 4) || '-13' ELSE d END"
+
+
+@query(f"""WITH m AS (SELECT o_orderkey, {MONTHS_ODD} AS x FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS d FROM orders)), p AS (SELECT *, CASE WHEN regexp_matches(trim(x), '^[0-9]{{4}}-(0[1-9]|1[0-2])$') THEN trim(x) END AS month FROM m)
+  SELECT o_orderkey, month, (substr(month, 1, 4)::INT * 12 + substr(month, 6, 2)::INT)::INT AS month_idx, CASE WHEN month IS NOT NULL THEN 'month' END AS granularity, coalesce(nullif(x, ''), 'TIME_UNKNOWN') AS suffix FROM p""")
+def month_stamps(spark, sf_dir):
+    d, r = timefn.month_of(F.col("o_orderdate")), F.col("o_orderkey") % 5
+    odd = F.when(r == 0, F.concat(F.lit(" "), d, F.lit(" "))).when(r == 1, F.lit("")).when(r == 2, F.lit(None)).when(r == 3, F.concat(F.substring(d, 1, 4), F.lit("-13"))).otherwise(d)
+    s = timefn.stamped(t(spark, sf_dir, "orders").select("o_orderkey", odd.alias("date")))
+    return s.select("o_orderkey", "month", "month_idx", "granularity", timefn.suffix(F.col("date")).alias("suffix"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS by_month, strftime(o_orderdate, '%Y-%m') AS by_name, strftime(o_orderdate, '%Y-%m') AS by_content FROM orders")
+def time_after_other_digits(spark, sf_dir):
+    d, key = F.col("o_orderdate"), F.col("o_orderkey").cast("string")
+    m, none = timefn.month_of(d), F.lit("")
+    by_month = timefn.find_time(F.concat(F.lit("doc_1234_"), F.lpad(key, 9, "7"), F.lit("_"), m, F.lit(".txt")), none)
+    by_name = timefn.find_time(F.concat(F.lit("9"), key, F.lit("4321 "), F.date_format(d, "MMM"), F.lit("  "), F.year(d), F.lit(".md")), none)
+    by_content = timefn.find_time(F.lit("notes_12345.md"), F.concat(F.lit("room 0042, "), F.date_format(d, "MMMM yyyy")))
+    return t(spark, sf_dir, "orders").select("o_orderkey", timefn.to_month(by_month).alias("by_month"), timefn.to_month(by_name).alias("by_name"), timefn.to_month(by_content).alias("by_content"))
+
+
+@query(f"SELECT chunk_id, regexp_extract(chunk_id, '^[0-9]+') AS document, digest FROM ({WINDOWS})")
+def chunk_documents(spark, sf_dir):
+    c = chunking.char_windows(t(spark, sf_dir, "documents"), min_tokens=chunking.MIN)
+    return c.select("chunk_id", textfn.document_of(F.col("chunk_id")).alias("document"), F.md5("content").alias("digest"))
+
+
+@query(f"WITH {G} SELECT src, dst, round(time_similarity, 6) AS time_similarity FROM links WHERE time_similarity < 0.75 OR time_similarity = 1")
+def temporal_links_missing(spark, sf_dir):
+    n, e = _built(spark, sf_dir, False)
+    one = graph.temporal_links(n, e).filter("time_similarity < 1 and time_similarity > 0.75")  # links of neighbouring months are there already
+    return graph.temporal_links(n, e.unionByName(one)).select("src", "dst", F.round("time_similarity", 6).alias("time_similarity"))
+
+
+@query(f"""WITH {G}, one AS (SELECT min(src) AS s, min(type) AS k FROM sem), k AS (SELECT s, split_part(k, ', ', 1) AS k FROM one)
+  SELECT node_id, nodes.type AS type, sem.type AS keywords FROM k JOIN sem ON src = s AND list_contains(string_split(sem.type, ', '), k) JOIN nodes ON node_id = dst""")
+def neighbors_of_first_node(spark, sf_dir):
+    n, e = _built(spark, sf_dir)
+    first = e.filter("not is_temporal").agg(F.min("src"), F.min(F.array_join("relation_keywords", ", "))).first()
+    return graph.neighbors(n, e, first[0], [first[1].split(", ")[0]]).select("node_id", "type", F.array_join("relation_keywords", ", ").alias("keywords"))
+
+
+@query(f"WITH {G}, {REL_SQL} SELECT src, dst, type, round(score, 6) AS score, place FROM r1")
+def relation_search_among_links(spark, sf_dir):
+    n, e = _built(spark, sf_dir)
+    out = retrieve.relation_search(with_vectors(e, spark, sf_dir, 7), query_vector(spark, sf_dir), PARAMS)
+    return out.select("src", "dst", "type", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {G}, n2 AS (SELECT CASE WHEN first_ord % 11 = 0 THEN NULL ELSE name END AS name, node_id, CASE WHEN first_ord % 7 = 0 THEN NULL ELSE month_idx END AS mi FROM nodes WHERE name <> 'BUILDING'),
+  e2 AS (SELECT src, CASE WHEN first_ord % 13 = 0 THEN src ELSE dst END AS dst FROM sem WHERE date <> '1996-03'), used AS (SELECT src AS s FROM e2 UNION SELECT dst FROM e2)
+  SELECT 'missing_attribute' AS rule, 'issue' AS severity, node_id AS subject FROM n2 WHERE name IS NULL UNION ALL SELECT 'no_time', 'warning', node_id FROM n2 WHERE mi IS NULL
+  UNION ALL SELECT 'isolated', 'warning', node_id FROM n2 WHERE node_id NOT IN (SELECT s FROM used) UNION ALL SELECT 'self_loop', 'warning', src FROM e2 WHERE src = dst
+  UNION ALL SELECT 'missing_node', 'issue', s FROM used WHERE s NOT IN (SELECT node_id FROM n2)""")
+def graph_validate_every_rule(spark, sf_dir):
+    n, e = _built(spark, sf_dir, False)  # damaged so that every rule is broken
+    n = n.filter("name <> 'BUILDING'").withColumns({"name": F.expr("if(first_ord % 11 = 0, null, name)"), "month_idx": F.expr("if(first_ord % 7 = 0, null, month_idx)")})
+    e = e.filter("date <> '1996-03'").withColumn("dst", F.expr("if(first_ord % 13 = 0, src, dst)"))
+    return graph.validation(n, e)
+
+
+@query(f"""WITH {G}, x AS (SELECT n.date AS date, bool_or(is_temporal) AS tmp FROM edges JOIN nodes n ON n.node_id = dst GROUP BY src, dst, n.date)
+  SELECT 'strict' AS mode, 'cross_time' AS scope, count(*) AS n FROM x WHERE date IN ({", ".join(f"'{m}'" for m in MONTHS)})
+  UNION ALL SELECT 'expanded', 'cross_time', count(*) FROM x WHERE date IN ({", ".join(f"'{m}'" for m in timefn.expand(MONTHS, "adjacent"))})
+  UNION ALL SELECT 'with_temporal', 'cross_time', count(*) FROM x WHERE tmp OR date IN ({", ".join(f"'{m}'" for m in MONTHS)})
+  UNION ALL SELECT 'with_temporal', 'within_range', count(*) FROM x WHERE date IN ({", ".join(f"'{m}'" for m in MONTHS)})""")
+def neighbor_time_filter(spark, sf_dir):
+    n, e = _built(spark, sf_dir)
+    x = e.select("src", F.col("dst").alias("node_id"), "is_temporal").join(n.select("node_id", "date"), "node_id").groupBy("src", "node_id", "date").agg(F.bool_or("is_temporal").alias("tmp"))
+    cases = [("strict", "cross_time"), ("expanded", "cross_time"), ("with_temporal", "cross_time"), ("with_temporal", "within_range")]
+    counts = x.agg(*[F.count_if(filters.neighbor_in(F.col("date"), F.col("tmp"), MONTHS, m, s)).alias(f"c{i}") for i, (m, s) in enumerate(cases)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(s).alias("scope"), F.col(f"c{i}").alias("n")) for i, (m, s) in enumerate(cases)])))
+
+
+@query(f"WITH {G}, {REL_SQL} SELECT src, dst, type, CASE WHEN (src, dst) IN (SELECT (src, dst) FROM r1) THEN 0 ELSE 1 END AS src_ord FROM sem")
+def relations_keep_first(spark, sf_dir):
+    n, e = _built(spark, sf_dir, False)
+    v = with_vectors(e, spark, sf_dir, 7)
+    found = retrieve.relation_search(v, query_vector(spark, sf_dir), PARAMS)
+    rest = e.select("src", "dst", F.array_join("relation_keywords", ", ").alias("type"), F.lit(1.0).alias("score"), F.lit(1).alias("src_ord"), F.lit(0).alias("place"))
+    return retrieve.merged_relations(found, rest).select("src", "dst", "type", "src_ord")
+
+
+@query(f"""WITH {G}, x AS (SELECT ev.src, ev.dst, date, (list_cosine_similarity(ev.v, a.v) + list_cosine_similarity(ev.v, b.v)) / 2 AS sem FROM ev JOIN (SELECT node_id, v FROM nv) a ON a.node_id = src JOIN (SELECT node_id, v FROM nv) b ON b.node_id = dst)
+  SELECT src, dst, round(sem, 6) AS semantic, round(least(1.0, (0.7 * (0.6 * sem + 0.4 * {rel(MI)}) + 0.15) * 0.7), 6) AS score FROM x""")
+def edge_scores(spark, sf_dir):
+    n, e = _vector_graph(spark, sf_dir)
+    ends = n.select("node_id", F.col("embedding").alias("v"))
+    x = e.join(ends.select(F.col("node_id").alias("src"), F.col("v").alias("a")), "src").join(ends.select(F.col("node_id").alias("dst"), F.col("v").alias("b")), "dst")
+    sem = scoring.edge_semantic(vectorfn.cosine(F.col("embedding"), F.col("a")), vectorfn.cosine(F.col("embedding"), F.col("b")), F.col("description"))
+    x = x.select("src", "dst", "date", sem.alias("sem"))
+    return x.select("src", "dst", F.round("sem", 6).alias("semantic"), F.round(scoring.edge(F.col("sem"), scoring.relevance(F.col("date"), MONTHS), F.lit(0.0), 1), 6).alias("score"))
+
+
+@query("SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]) * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 6) AS total FROM embeddings")
+def vector_upsert(spark, sf_dir):
+    v = t(spark, sf_dir, "embeddings").withColumn("version", F.lit(0))
+    newer = v.filter("vec_id % 3 = 0").withColumns({"embedding": F.transform("embedding", lambda x: (x * 2).cast("float")), "version": F.lit(1)})
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return knn.checked(knn.latest(v.unionByName(newer), "vec_id", "version"), 64).select("vec_id", "label", F.round(total, 6).alias("total"))
+
+
+@query(f"""WITH {G}, a AS (SELECT sum(length('- **' || name || '** (' || type || ') [' || date || ']: ' || description) // 4) AS n FROM nodes),
+  b AS (SELECT sum(length('- **' || split_part(src, '__', 1) || '** ' || type || ' **' || split_part(dst, '__', 1) || '** [' || date || ']: ' || description) // 4) AS n FROM sem), c AS (SELECT sum(length(text) // 4) AS n FROM documents)
+  SELECT a.n::BIGINT AS entities, b.n::BIGINT AS relations, c.n::BIGINT AS chunks, (a.n + b.n + c.n + 100)::BIGINT AS total FROM a, b, c""")
+def context_estimate(spark, sf_dir):
+    n, e = _built(spark, sf_dir, False)
+    x = context.estimate(n.withColumn("score", F.lit(1.0)), _rel_named(e), dated_chunks(spark, sf_dir), 100)
+    return x.select(*[F.col(c).cast("long").alias(c) for c in ("entities", "relations", "chunks", "total")])
+
+
+def document_files(spark, sf_dir):
+    """All documents as files of three formats, a fourth that isn't supported, and broken JSON among them."""
+    k = F.col("doc_id") % 5
+    kind = F.when(k == 0, "txt").when(k == 1, "MD").when(k == 4, "xyz").otherwise("json")
+    body = F.when(k == 2, F.to_json(F.struct(F.col("text").alias("content")))).when(k == 3, F.concat(F.lit("{broken"), "text")).otherwise(F.concat(F.lit("\ufeff"), "text"))
+    path = F.concat(F.lit("/in/rep_"), F.col("doc_id").cast("string"), F.lit("_2024-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("."), kind)
+    d = t(spark, sf_dir, "documents").select(path.alias("path"), body.cast("binary").alias("content"))
+    return files.supported(d.withColumn("length", F.octet_length("content").cast("long")))
+
+
+FILES = """f AS (SELECT 'rep_' || doc_id || '_2024-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS doc_id, '2024-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS date, CASE doc_id % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' ELSE 'json' END AS file_format,
+  CASE WHEN doc_id % 5 <> 3 THEN text END AS text, CASE WHEN doc_id % 5 = 3 THEN 'not JSON' WHEN trim(text, ' ') = '' THEN 'empty file' END AS error FROM documents WHERE doc_id % 5 <> 4)"""
+
+
+@query(f"WITH {FILES} SELECT doc_id, date, file_format, md5(text) AS digest, length(text)::INT AS characters, (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS lines, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> ''))::INT AS words, error FROM f")
+def files_to_documents(spark, sf_dir):
+    return files.documents(document_files(spark, sf_dir)).select("doc_id", "date", "file_format", F.md5("text").alias("digest"), "characters", "lines", "words", "error")
+
+
+@query(f"WITH {FILES} SELECT count(*) AS files, count(*) FILTER (error IS NULL) AS read, count(*) FILTER (error IS NOT NULL) AS failed, count(DISTINCT date) FILTER (error IS NULL) AS dates, string_agg(DISTINCT file_format, ',' ORDER BY file_format) FILTER (error IS NULL) AS formats FROM f")
+def file_ingest_stats(spark, sf_dir):
+    s = files.ingest_stats(files.documents(document_files(spark, sf_dir)))
+    return s.select("files", "read", "failed", "dates", F.array_join("formats", ",").alias("formats"))
+
+
+# --- the engine: every chunk of the documents mentions an entity that is named by its length
+
+
+def _length_model(system: str, text: str) -> str:
+    return json.dumps({"entities": [{"entity_name": f"LEN{len(text) % 50}", "entity_type": "PRODUCT", "entity_description": ""}], "relationships": []})
+
+
+def _engine(spark):
+    return Engine(spark, model=_length_model, chunks=ChunkParams(sentence_boundary=False), ranks=CentralityParams(10, 10, 10))
+
+
+def _dated_documents(spark, sf_dir):
+    month = F.concat(F.lit("2024-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"))
+    return t(spark, sf_dir, "documents").select("doc_id", "text", month.alias("date"), F.col("doc_id").alias("doc_ord"))
+
+
+CHUNKED = f"""c AS (SELECT chunk_id, doc_id, length(x) AS n FROM (SELECT doc_id || '_chunk_' || i AS chunk_id, doc_id, substring(c, (i * 1800 + 1)::BIGINT, 2000) AS x FROM (SELECT doc_id, c, unnest(range(0, greatest(1, ceil((length(c) - 2000) / 1800.0)::BIGINT + 1))) AS i FROM (SELECT doc_id, {CLEAN} AS c FROM documents) WHERE c <> '')) WHERE length(x) // 4 >= 100)"""
+LENGTHS = f"{CHUNKED}, n AS (SELECT 'LEN' || n % 50 || '__2024-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS node_id, count(DISTINCT doc_id) AS docs FROM c GROUP BY 1)"
+
+
+@query(f"WITH {CHUNKED} SELECT chunk_id, n::INT AS characters FROM c")
+def engine_reinsert(spark, sf_dir):
+    e, docs = _engine(spark), _dated_documents(spark, sf_dir)
+    e.insert(docs.withColumn("text", F.concat(F.lit("Older. "), "text")))
+    e.insert(docs)
+    return e.tables["chunks"].select("chunk_id", F.length("content").alias("characters"))
+
+
+@query(f"WITH {LENGTHS} SELECT node_id, docs FROM n")
+def engine_reload_insert(spark, sf_dir):
+    docs, path = _dated_documents(spark, sf_dir), f"{centrality.checkpoint_dir(spark)}/engine-{uuid.uuid4().hex}"
+    one = _engine(spark)
+    one.insert(docs.filter("doc_id % 2 = 0"))  # the even ids first, the odd ones after a reload, and all are built
+    one.build()
+    one.save(path)
+    two = _engine(spark)
+    two.load(path)
+    two.insert(docs.filter("doc_id % 2 <> 0"))
+    two.build()
+    two.save(path)
+    return two.tables["nodes"].select("node_id", F.size("source_doc_ids").cast("long").alias("docs"))
+
+
 # --- answers of models, and JSON
 
 

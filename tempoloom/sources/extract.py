@@ -15,7 +15,6 @@ from tempoloom.functions.textfn import preview
 ENTITIES = "array<struct<entity_name:string,entity_type:string,entity_description:string>>"
 RELATIONS = "array<struct<source_entity:string,target_entity:string,relationship_keywords:string,relationship_description:string>>"
 ANSWER = f"struct<entities:{ENTITIES},relationships:{RELATIONS}>"
-KEYWORDS = "struct<high_level_keywords:array<string>,low_level_keywords:array<string>>"
 ONTOLOGY = {
     "COMPANY": ("an enterprise or other organisation", ("Apple", "Siemens")),
     "PERSON": ("somebody with a name or an office", ("the chief executive",)),
@@ -32,9 +31,20 @@ ANSWERING = "Answer from the context alone.\n{time}\n\n{context}\n\nQuestion: {q
 STOP = frozenset("a an and are as at be by did do does for from had has have how in is it its of on or that the their this to was were what when where which who why will with".split())
 
 
-def entity_types() -> list[tuple[str, str, list[str]]]:
+Ontology = dict[str, tuple[str, tuple[str, ...]]]
+
+
+def entity_types(ontology: Ontology = ONTOLOGY) -> list[tuple[str, str, list[str]]]:
     """(name, description, examples) of the ontology."""
-    return [(k, d, list(e)) for k, (d, e) in ONTOLOGY.items()]
+    return [(k, d, list(e)) for k, (d, e) in ontology.items()]
+
+
+def read_ontology(path: str) -> Ontology:
+    """From JSON: names to descriptions, or to objects with a description (also description_en) and examples; such a table may be under entity_types."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    found = found.get("entity_types", found)
+    return {k: (v, ()) if isinstance(v, str) else (v.get("description") or v.get("description_en") or "", tuple(v.get("examples") or ())) for k, v in found.items()}
 
 
 def fill(template: str, **values: str) -> str:
@@ -59,9 +69,27 @@ def rule_keywords(question: str) -> tuple[list[str], list[str]]:
     return list(dict.fromkeys(words)), [w for w in dict.fromkeys(words) if w[0].isupper()] or list(dict.fromkeys(words))
 
 
-def asked(chunks: DataFrame, model: Callable[[str, str], str] = rule_extractor) -> DataFrame:
+def _listed(x: object) -> list[str]:
+    return list(dict.fromkeys(w.strip() for w in x if isinstance(w, str) and w.strip())) if isinstance(x, list) else []
+
+
+def model_keywords(model: Callable[[str, str], str], prompt: str = ASK) -> Callable[[str], tuple[list[str], list[str]]]:
+    """Keywords by a model that answers with JSON; empty lists where the call fails or the answer isn't such JSON."""
+
+    def keywords(question: str) -> tuple[list[str], list[str]]:
+        try:
+            answer = model(prompt, question)
+            found = json.loads(answer[answer.index("{") : answer.rindex("}") + 1])
+            return _listed(found.get("high_level_keywords")), _listed(found.get("low_level_keywords"))
+        except Exception:  # noqa: BLE001 - a failed call gives no keywords
+            return [], []
+
+    return keywords
+
+
+def asked(chunks: DataFrame, model: Callable[[str, str], str] = rule_extractor, ontology: Ontology = ONTOLOGY, prompt: str = EXTRACT) -> DataFrame:
     """chunks with ``answer``, the model's raw text; null where the call failed."""
-    system = fill(EXTRACT, types=", ".join(ONTOLOGY))
+    system = fill(prompt, types=", ".join(f"{k} ({d})" if d else k for k, (d, _) in ontology.items()))
 
     @F.pandas_udf("string")
     def call(texts: pd.Series) -> pd.Series:
@@ -103,5 +131,5 @@ def _ord() -> Column:
     return F.col("doc_ord").cast("long") * (1 << 40) + F.col("chunk_index").cast("long") * (1 << 20) + F.col("i").cast("long")
 
 
-def stats(model: str = "offline", temperature: float = 0.0) -> dict[str, object]:
-    return {"model": model, "temperature": temperature, "entity_types": len(ONTOLOGY)}
+def stats(model: str = "offline", temperature: float = 0.0, ontology: Ontology = ONTOLOGY) -> dict[str, object]:
+    return {"model": model, "temperature": temperature, "entity_types": len(ontology)}

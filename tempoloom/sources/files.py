@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,11 @@ SUPPORTED = ("txt", "md", "json", "pdf", "docx")
 def scan(spark: SparkSession, path: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
     """path, file_size, content, file_format of the supported files. Spark lists no files of zero bytes; a missing path is its error."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return supported(raw)
+
+
+def supported(raw: DataFrame) -> DataFrame:
+    """raw: path, length, content."""
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return raw.select("path", F.col("length").alias("file_size"), "content", kind.alias("file_format")).filter(F.col("file_format").isin(*SUPPORTED))
 
@@ -28,7 +34,7 @@ def docx_text(data: bytes) -> str:
     xml = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8")
     out = []
     for p in re.findall(r"<w:p[ >].*?</w:p>", xml, re.S):
-        out.append("".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", p)))
+        out.append(unescape("".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", p))))
     return "\n".join(out)
 
 
@@ -86,15 +92,35 @@ def documents(files: DataFrame, pdf: Callable[[bytes], str] = no_pdf, docx: Call
     )
 
 
+def write_log(documents: DataFrame, path: str, seconds: float = 0.0) -> None:
+    """Appends what was read, and what wasn't, to the ingest log; seconds is what the run took and is shared among its files."""
+    rows = documents.select("path", "doc_id", "file_size", "file_format", "date", "error")
+    n = max(rows.count(), 1)
+    rows.withColumns({"seconds": F.lit(seconds / n), "logged_at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last entry of each file, or None where there is no log yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    log = spark.read.parquet(path)
+    last = F.max_by(F.struct(*[c for c in log.columns if c != "path"]), F.col("logged_at"))
+    return log.groupBy("path").agg(last.alias("r")).select("path", "r.*")
+
+
 def unread(files: DataFrame, log: DataFrame) -> DataFrame:
     """Files that the log has not, by path and size: where an interrupted run goes on."""
     return files.join(log.filter("error is null").select("path", "file_size"), ["path", "file_size"], "left_anti")
 
 
 def ingest_stats(log: DataFrame) -> DataFrame:
+    """Totals of a log, or of documents, which have no seconds."""
     ok = F.col("error").isNull()
+    took = F.col("seconds") if "seconds" in log.columns else F.lit(None).cast("double")
     return log.agg(
         F.count("*").alias("files"), F.count_if(ok).alias("read"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.when(ok, F.col("file_size"))), F.lit(0)).alias("bytes"),
         F.avg(F.when(ok, F.col("file_size"))).alias("mean_bytes"), F.min(F.when(ok, F.col("file_size"))).alias("min_bytes"), F.max(F.when(ok, F.col("file_size"))).alias("max_bytes"),
         F.count_distinct(F.when(ok, F.col("date"))).alias("dates"), F.array_sort(F.collect_set(F.when(ok, F.col("file_format")))).alias("formats"),
+        F.sum(took).alias("seconds"), F.avg(took).alias("mean_seconds"), F.min(took).alias("min_seconds"), F.max(took).alias("max_seconds"),
     )

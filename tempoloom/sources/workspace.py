@@ -3,31 +3,46 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("documents", "chunks", "nodes", "edges", "node_centrality", "edge_centrality")
+TABLES = ("documents", "chunks", "entity_mentions", "relation_mentions", "nodes", "edges", "node_centrality", "edge_centrality")
 
 
 def save(path: str, tables: dict[str, DataFrame]) -> dict[str, str]:
-    """Writes each table and then the manifest; gives the paths."""
-    paths = {}
-    spark = None
+    """Writes the tables to a folder of their own and then a line of the manifest, so that a save onto the path that they were
+    loaded from, or one that breaks off, leaves what was there readable; gives the paths. Older versions stay till prune()."""
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    paths = {name: f"{path}/{version}/{name}" for name in tables}
     for name, df in tables.items():
-        spark, paths[name] = df.sparkSession, f"{path}/{name}"
-        df.write.mode("overwrite").parquet(paths[name])
-    if spark is not None:
-        spark.createDataFrame([(json.dumps({"tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        df.write.parquet(paths[name])
+    for df in list(tables.values())[:1]:
+        df.sparkSession.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("append").text(f"{path}/manifest")
     return paths
 
 
-def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict[str, bool]]:
-    """(tables, which there are); nodes and edges are required."""
-    there = set(json.loads(spark.read.text(f"{path}/manifest").first()[0])["tables"])
-    if missing := {"nodes", "edges"} - there:
+def _versions(spark: SparkSession, path: str) -> list[dict]:
+    return sorted((json.loads(r[0]) for r in spark.read.text(f"{path}/manifest").collect()), key=lambda v: v["version"])  # a line for each save
+
+
+def load(spark: SparkSession, path: str, required: tuple[str, ...] = ("nodes", "edges")) -> tuple[dict[str, DataFrame], dict[str, bool]]:
+    """(tables, which there are) of the last save; nodes and edges are required."""
+    last = _versions(spark, path)[-1]
+    there = set(last["tables"])
+    if missing := set(required) - there:
         raise FileNotFoundError(f"no table {', '.join(sorted(missing))} in {path}")
-    return {t: spark.read.parquet(f"{path}/{t}") for t in sorted(there)}, {t: t in there for t in TABLES}
+    return {t: spark.read.parquet(f"{path}/{last['version']}/{t}") for t in sorted(there)}, {t: t in there for t in TABLES}
+
+
+def prune(spark: SparkSession, path: str) -> int:
+    """Deletes all versions but the last, which no DataFrame may still read; gives how many."""
+    old = _versions(spark, path)[:-1]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = [jvm.org.apache.hadoop.fs.Path(f"{path}/{v['version']}") for v in old]
+    return sum(bool(p.getFileSystem(conf).delete(p, True)) for p in folders)
 
 
 def export_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:

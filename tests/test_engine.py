@@ -153,3 +153,81 @@ def test_stream(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out/entity_mentions")).count() == 2 * i
         spark.createDataFrame([("e", "Cid met Dee.", "2024-02", 2, 0, "e_chunk_0")], schema).write.mode("append").parquet(str(src))
     assert spark.read.parquet(str(tmp_path / "out/relation_mentions")).filter(F.col("source") == "Cid").count() == 1
+
+
+DOCS = "doc_id string, text string, date string, doc_ord long"
+
+
+def test_inserts_after_loading_and_again(spark, tmp_path):
+    rows = [(f"doc{i}", t, d, i) for i, (d, t) in enumerate(TEXTS.items())]
+    path = str(tmp_path / "w")
+    one = Engine(spark, chunks=ChunkParams(min_tokens=0))
+    one.insert(spark.createDataFrame(rows[:3], DOCS))
+    one.build()
+    one.save(path)
+    two = Engine(spark, chunks=ChunkParams(min_tokens=0))
+    assert two.load(path)["entity_mentions"]
+    two.insert(spark.createDataFrame(rows[2:], DOCS))  # the third again
+    two.build()
+    two.save(path)  # onto what it was loaded from
+    whole = Engine(spark, chunks=ChunkParams(min_tokens=0))
+    whole.insert(spark.createDataFrame(rows + [("doc0", "Older words.", "2023-09", -1)], DOCS))
+    whole.build()
+    three = Engine(spark)
+    three.load(path)
+    assert three.stats() == two.stats() == whole.stats()
+    ids = lambda e: sorted(r.node_id + r.description for r in e.tables["nodes"].collect())
+    assert ids(three) == ids(whole)
+    assert workspace.prune(spark, path) == 1 and ids(three) == ids(whole)
+    two.insert(spark.createDataFrame([("doc0", "Quiet Lake opened.", "2024-01", 9)], DOCS))
+    two.build()
+    assert two.stats()["stored_chunks"] == 5 and "Quiet Lake__2024-01" in {r.node_id for r in two.tables["nodes"].collect()}
+    assert not two.tables["nodes"].filter("date = '2023-09'").count()
+
+
+def test_failing_calls_and_missing_chunks(engine, spark):
+    def fails(*_):
+        raise RuntimeError("down")
+
+    e = Engine(spark, keywords=fails, answer=fails)
+    e.tables = {k: v for k, v in engine.tables.items() if k != "chunks"}
+    r = e.query("Norway")
+    assert r.answer == "" and "down" in r.error and r.keywords["low_level_keywords"] == [] and r.chunks == []
+    ask = extract.model_keywords(lambda system, q: 'Here: {"high_level_keywords": ["trade", "trade", 3], "low_level_keywords": ["Norway"]}')
+    assert ask("x") == (["trade"], ["Norway"]) and extract.model_keywords(fails)("x") == extract.model_keywords(lambda s, q: "no")("x") == ([], [])
+    top = engine.search("Norway", 2, {"date": "2024-06"}).collect()
+    assert len(top) == 2 and top[0]["name"] == "Norway" and top[0]["score"] >= top[1]["score"]
+
+
+def test_ontology_and_prompts(spark, tmp_path):
+    f = tmp_path / "o.json"
+    f.write_text(json.dumps({"entity_types": {"SHIP": {"description_en": "a vessel", "examples": ["Ann"]}, "PORT": "a harbour"}}))
+    o = extract.read_ontology(str(f))
+    assert extract.entity_types(o) == [("SHIP", "a vessel", ["Ann"]), ("PORT", "a harbour", [])] and extract.stats(ontology=o)["entity_types"] == 2
+    df = spark.createDataFrame([("x",)], "content string")
+    assert extract.asked(df, lambda system, text: system, o, "Kinds: {types}").first().answer == "Kinds: SHIP (a vessel), PORT (a harbour)"
+
+
+def test_files_into_the_engine(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a_2024-03.txt").write_text("Blue Harbor met Dana Reed.")
+    (d / "b.json").write_text("{broken")
+    log = str(tmp_path / "log")
+    e = Engine(spark, chunks=ChunkParams(min_tokens=0))
+    first = e.insert_files(str(d), log)
+    assert (first["read"], first["failed"]) == (1, 1) and first["seconds"] > 0
+    (d / "b.json").write_text(json.dumps({"text": "Quiet Lake met Blue Harbor. March 2024"}))
+    again = e.insert_files(str(d), log)
+    assert (again["files"], again["read"]) == (1, 1) and e.tables["chunks"].count() == 2
+    assert e.insert_files(str(d), log)["files"] == 0
+    s = files.ingest_stats(files.read_log(spark, log)).first()
+    assert (s.files, s.read, s.dates) == (2, 2, 1) and s.seconds > 0 and s.max_seconds >= s.mean_seconds
+
+
+def test_times_after_other_digits(spark):
+    from tempoloom.functions.timefn import find_time, to_month
+
+    names = {"doc_1234_2024-03.txt": "2024-03", "id20241_Q2 2023.md": "2023-06", "notes Feb 2022.txt": "2022-02", "99999 sept 2021": None, "x_12345": None, "Sep_2021": "2021-09", "May 2020": "2020-05"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.m for r in df.select("n", to_month(find_time(F.col("n"), F.lit(""))).alias("m")).collect()} == names
