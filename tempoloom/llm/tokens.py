@@ -97,10 +97,8 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.int64), np.empty(0, U)
     h = np.zeros(n, U)
-    for j in range(k):
+    for j in range(min(k, n)):
         h[: n - j] = mix(h[: n - j] + w.hash[j:] * U(2 * j + 3))
-        if j < n:
-            h[n - j :] = h[n - j :]
     count = np.bincount(w.row, minlength=len(w.offsets) - 1)
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
     at = np.arange(n) - first[w.row]

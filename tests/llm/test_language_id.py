@@ -53,3 +53,30 @@ def test_held_out_accuracy_positions_and_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
     assert L.detect(docs.limit(0)).count() == 0 and L.keep_identified(docs.limit(0)).count() == 0
     assert {r.kept for r in L.identify(docs, None).collect()} == {False}
+
+
+def test_labels_are_those_of_a_plain_network():
+    """One byte after the other in plain Python, over whole texts that fit in a window."""
+    g = random.Random(4)
+    net = L.BiGRU(["a", "b", "c"], 4, 2)
+    texts = [text(g, "fr", 6), "x", "", text(g, "de", 8)]
+    mean, labels, size = L.label(net, pa.array(texts, pa.large_string()))
+    clip = lambda x, a, b: max(a, min(b, x))
+    for i, s in enumerate(texts):
+        raw = s.encode()
+        assert len(raw) <= L.WINDOW - 2 * L.CONTEXT
+        out = np.tile(net.p["c"][:, 0].astype(float), (len(raw), 1))
+        for d, order in (("f", range(len(raw))), ("b", range(len(raw) - 1, -1, -1))):
+            W, R, V, h = (net.p["W" + d].astype(float), net.p["U" + d].astype(float), net.p["V" + d].astype(float), 4)
+            s_ = [0.0] * h
+            for t in order:
+                x = [W[j][raw[t]] for j in range(3 * h)]
+                u = [sum(R[j][k] * s_[k] for k in range(h)) for j in range(3 * h)]
+                z = [clip((x[j] + u[j]) / 4 + 0.5, 0, 1) for j in range(2 * h)]
+                n = [clip(x[2 * h + j] + z[h + j] * u[2 * h + j], -1, 1) for j in range(h)]
+                s_ = [z[j] * s_[j] + (1 - z[j]) * n[j] for j in range(h)]
+                out[t] += V @ s_
+        p = np.exp(out - out.max(1, keepdims=True)) if len(raw) else out
+        p = p / p.sum(1, keepdims=True) if len(raw) else p
+        assert size[i] == len(raw) and np.allclose(mean[i], p.mean(0) if len(raw) else 0, atol=1e-4)
+        assert labels[i].sum() == len(raw)

@@ -54,3 +54,37 @@ def _accuracy(rounds, a, b, y, ap, bp, yp):
     finally:
         Q.ROUNDS = old
     return ((m.view(1, bp, len(yp)) > 0) == (yp > 0.5)).mean()
+
+
+def test_the_surest_of_the_table_are_those_of_plain_python(spark):
+    rows = corpus(260) + [(1000 + i, *corpus(3)[i % 3][1:]) for i in range(60)]  # copies count once
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, source string, lang string, n_chars long").repartition(5)
+    from pyspark.sql import functions as F
+
+    given = docs.withColumn("y", F.lit(None).cast("int"))
+    packed = given.mapInArrow(Q._packed, "doc_id long, y int, f binary, c binary, m binary").withColumn("h", F.xxhash64("f", "c", "m"))
+    table = packed.toArrow()
+    views, h = Q.unpacked(*Q._columns(table, "f", "c", "m")), table.column("h").to_numpy()
+    g = np.random.default_rng(0)
+    w, cal = [g.normal(0, 3, Q.TEXT + 1), g.normal(0, 3, Q.META + 1)], [(2.0, 0.1), (1.5, -0.2)]
+    old, Q.PER_ROUND = Q.PER_ROUND, 7
+    try:
+        none = [np.empty(0, np.int64)] * 2
+        first = Q.in_memory(views, len(h))(w, cal, none)
+        for k in (0, 1):
+            p = Q.sigmoid(cal[k][0] * Q.scores(w[k], *views[k], len(h)) + cal[k][1])
+            for label in (0, 1):
+                sure = sorted({(-round(float(x if label else 1 - x), 9), int(key)) for x, key in zip(p, h) if (x if label else 1 - x) >= Q.SURE})
+                want = [key for _, key in sure[:7]]
+                zero, one = Q.surest_of(h, p, np.empty(0, np.int64))
+                assert sorted((one if label else zero)[0].tolist()) == sorted(want)
+        assert all(len(x[0]) for x in first)
+        best = {k: tuple(np.sort(z[0]) for z in Q.surest_of(h, Q.sigmoid(cal[k][0] * Q.scores(w[k], *views[k], len(h)) + cal[k][1]), none[0])) for k in (0, 1)}
+        assert all(len(np.unique(x)) == len(x) for b in best.values() for x in b)
+    finally:
+        Q.PER_ROUND = old
+    kept = Q.from_table(packed)(w, cal, none)  # with the parameter of production, as workers have it
+    for k, (keys, label, x) in enumerate(kept):
+        zero, one = Q.surest_of(h, Q.sigmoid(cal[k][0] * Q.scores(w[k], *views[k], len(h)) + cal[k][1]), none[0])
+        assert set(zip(keys.tolist(), label.tolist())) == {(a, 0.0) for a in zero[0].tolist()} | {(a, 1.0) for a in one[0].tolist()}
+        assert len(np.unique(x[0])) == len(keys)

@@ -46,3 +46,11 @@ def test_label_model_finds_accuracies_and_correlations():
     assert np.abs(m.accuracy - true).max() < 0.03
     assert any({4, 6} <= set(b) for b in m.blocks)
     assert ((m.posterior(v.astype(np.int64)) > 0.5) == y).mean() > 0.98
+
+
+def test_posterior_is_that_of_bayes_rule():
+    m = X.LabelModel([[0, 2], [1]], [np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.2, 0.3, 0.4]]), np.array([[0.9, 0.1], [0.4, 0.6]])], 0.2, np.empty(0), np.empty(0))
+    v = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)])
+    for row, got in zip(v, m.posterior(v)):
+        joint = [p * m.table[0][y][row[0] + 2 * row[2]] * m.table[1][y][row[1]] for y, p in ((0, 0.8), (1, 0.2))]
+        assert abs(got - joint[1] / sum(joint)) < 1e-12
