@@ -656,12 +656,12 @@ def temporal_links_missing(spark, sf_dir):
     return graph.temporal_links(n, e.unionByName(one)).select("src", "dst", F.round("time_similarity", 6).alias("time_similarity"))
 
 
-@query(f"""WITH {G}, one AS (SELECT min(src) AS s, min(type) AS k FROM sem), k AS (SELECT s, split_part(k, ', ', 1) AS k FROM one)
+@query(f"""WITH {G}, one AS (SELECT min(src) AS s FROM sem), k AS (SELECT s, min(split_part(type, ', ', 1)) AS k FROM sem JOIN one ON src = s GROUP BY s)
   SELECT node_id, nodes.type AS type, sem.type AS keywords FROM k JOIN sem ON src = s AND list_contains(string_split(sem.type, ', '), k) JOIN nodes ON node_id = dst""")
 def neighbors_of_first_node(spark, sf_dir):
     n, e = _built(spark, sf_dir)
-    first = e.filter("not is_temporal").agg(F.min("src"), F.min(F.array_join("relation_keywords", ", "))).first()
-    return graph.neighbors(n, e, first[0], [first[1].split(", ")[0]]).select("node_id", "type", F.array_join("relation_keywords", ", ").alias("keywords"))
+    one = e.filter("not is_temporal").groupBy("src").agg(F.min(F.element_at("relation_keywords", 1)).alias("k")).orderBy("src").first()
+    return graph.neighbors(n, e, one.src, [one.k]).select("node_id", "type", F.array_join("relation_keywords", ", ").alias("keywords"))
 
 
 @query(f"WITH {G}, {REL_SQL} SELECT src, dst, type, round(score, 6) AS score, place FROM r1")
