@@ -4,7 +4,8 @@ Pieces, scores and normaliser settings are read from a model file, which is neve
 a parameter (a model of a public tokenizer by default). A score is taken as the piece's log score. White space is a
 marker at the front of pieces, and each text has one marker put before it. If no piece has a marker after another
 character (checked on loading), the best path of a text is that of its words one by one, so each batch encodes its
-distinct words once; otherwise whole texts are searched. A character that no piece holds alone has a node scored
+distinct words once, and a process keeps the ids of up to SEEN bytes of short words for its later batches and tasks (equal
+by their bytes, not only by hash; what doesn't fit is searched again); otherwise whole texts are searched. A character that no piece holds alone has a node scored
 10 below the least score, and is written as its UTF-8 bytes.
 
 Ties go to the path whose last piece starts first, as in the public implementation. The trie is built on the driver and
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ MARKER = "▁"
 PART = 1 << 16  # bytes of words whose lattice is searched at once
 BLOCK = 1 << 14  # bytes of a longer word whose lattice is searched at once
 SLICE = 1 << 19  # bytes of text that are encoded at once
+SEEN = 1 << 22  # bytes of words whose ids a process keeps
+SHORT = 64  # bytes of the longest word that is kept
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 
@@ -64,6 +67,46 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         i += n
 
 
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans, one span after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Seen:
+    """Words with their ids, in the order of their hashes."""
+
+    def __init__(self) -> None:
+        self.hash, self.data, self.ids = np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int32)
+        self.start, self.size, self.first, self.count = (np.empty(0, np.int32) for _ in range(4))  # of the word in data, of its ids in ids
+
+    def find(self, names: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the words are here, where these are)."""
+        at = np.minimum(np.searchsorted(self.hash, names), len(self.hash) - 1)
+        here = np.flatnonzero((self.hash[at] == names) & (self.size[at] == size)) if len(self.hash) else np.empty(0, np.int64)
+        at, n = at[here], size[here]
+        differ = data[_flat(start[here], n)] != self.data[_flat(self.start[at].astype(np.int64), n)]
+        if differ.any():  # hashes met
+            same = np.ones(len(here), bool)
+            same[np.repeat(np.arange(len(here)), n)[differ]] = False
+            here, at = here[same], at[same]
+        return here, at
+
+    def add(self, names: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Words that aren't here, in the order of their hashes, with the ids of one after the other; as many as there is room for."""
+        fits = size <= SHORT
+        fits &= len(self.data) + np.cumsum(size * fits) <= SEEN
+        if not fits.any():
+            return
+        first = (np.cumsum(count) - count)[fits]
+        names, start, size, count = names[fits], start[fits], size[fits], count[fits]
+        at = np.searchsorted(self.hash, names)
+        for name, x in (("hash", names), ("start", len(self.data) + np.cumsum(size) - size), ("size", size), ("first", len(self.ids) + np.cumsum(count) - count), ("count", count)):
+            old = getattr(self, name)
+            setattr(self, name, np.insert(old, at, x.astype(old.dtype)))
+        self.data = np.concatenate([self.data, data[_flat(start, size)]])
+        self.ids = np.concatenate([self.ids, ids[_flat(first, count)].astype(np.int32)])
+
+
 @dataclass
 class Model:
     """base, check and value make the double array: a child by byte b of node s is base[s] + b if check there is s."""
@@ -78,6 +121,7 @@ class Model:
     offset: np.ndarray
     by_word: bool
     longest: int  # bytes of the longest piece
+    seen: Seen = field(default_factory=Seen)
 
 
 def trie(words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,6 +312,25 @@ def _in_parts(m: Model, data: np.ndarray, start: np.ndarray, size: np.ndarray) -
     return np.concatenate(ids), np.concatenate(counts)
 
 
+def _distinct(m: Model, names: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_in_parts over spans of different hashes, in the order of these; only those that weren't seen are searched."""
+    here, at = m.seen.find(names, data, start, size)
+    new = np.ones(len(names), bool)
+    new[here] = False
+    count = np.empty(len(names), np.int64)
+    count[here] = m.seen.count[at]
+    searched = _in_parts(m, data, start[new], size[new]) if new.any() else None
+    if searched:
+        count[new] = searched[1]
+    begin = np.cumsum(count) - count
+    ids = np.empty(count.sum(), np.int64)
+    ids[_flat(begin[here], count[here])] = m.seen.ids[_flat(m.seen.first[at].astype(np.int64), count[here])]
+    if searched:
+        ids[_flat(begin[new], count[new])] = searched[0]
+        m.seen.add(names[new], data, start[new], size[new], *searched)
+    return ids, count
+
+
 def encode(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets) for a large-string array without nulls."""
     texts = pc.replace_substring(texts, MARKER, " ")
@@ -284,12 +347,14 @@ def encode(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         head[1:] |= space[1:] & ~space[:-1]
     start = np.flatnonzero(head)
     end = np.append(start[1:], len(data))
-    _, first, which = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
+    names, first, which = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
     size = end - start
     same = np.arange(len(data)) + np.repeat(start[first][which] - start, size)
     if not (np.array_equal(size, size[first][which]) and np.array_equal(data[same], data)):  # hashes met
         first, which = np.arange(len(start)), np.arange(len(start))
-    ids, count = _in_parts(m, data, start[first], size[first])
+        ids, count = _in_parts(m, data, start, size)
+    else:
+        ids, count = _distinct(m, names, data, start[first], size[first])
     begin = np.cumsum(count) - count
     n_ids = count[which]
     flat = np.repeat(begin[which], n_ids) + np.arange(n_ids.sum()) - np.repeat(np.cumsum(n_ids) - n_ids, n_ids)

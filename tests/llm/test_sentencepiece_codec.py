@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +82,26 @@ def test_rows(spark):
     got = sorted(((r.doc_id, r.n_ids, r.round_trip, r.text) for r in S.encoded(docs, with_text=True).collect()), key=str)
     assert got == sorted([(1, None, None, None), (2, 0, True, ""), (None, 2, True, "a b"), (4, 2, True, "x y"), (4, 2, True, "x y")], key=str)
     assert S.encoded(docs.limit(0)).count() == 0
+
+
+def test_words_are_searched_once_for_all_batches(public, monkeypatch):
+    m, searched, search = S.load(), [], S._in_parts
+    monkeypatch.setattr(S, "_in_parts", lambda m, data, start, size: (searched.append(int(size.sum())), search(m, data, start, size))[1])
+    t = [x for x in texts() if len(x) < 1000]
+    for _ in range(2):
+        ids, offsets = S.encode(m, pa.array(t, pa.large_string()))
+        for i, x in enumerate(t):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == public.encode(x), x[:50]
+    assert m.seen.size.max() <= S.SHORT and sum(searched[1:]) < searched[0] / 2  # longer words are searched again
+    monkeypatch.setattr(S, "SEEN", len(m.seen.data) + 4)  # no room for more than a word or two
+    for x in ["zq xv zqx zqv vqz", "xv zq and the", "zqx zqv"] * 2:
+        x = pa.array([x], pa.large_string())
+        assert S.encode(m, x)[0].tolist() == S.encode(replace(m, seen=S.Seen()), x)[0].tolist()
+    assert len(m.seen.data) <= S.SEEN
+
+
+def test_words_of_equal_hash_are_told_apart(public, monkeypatch):
+    m = S.load()
+    monkeypatch.setattr(S, "span_hash", lambda data, start, end: np.full(len(start), 7, np.uint64))
+    for x in ("abc", "xyz", "abc", "abc xyz", "abcd"):
+        assert S.encode(m, pa.array([x], pa.large_string()))[0].tolist() == public.encode(x)
