@@ -14,7 +14,8 @@ Every occurrence but the first (by doc_id, then place) of a run of SPAN words or
 
 Every step keeps one table of NumPy arrays for each partition in the shared checkpoint folder. Tasks send their distinct
 keys, sorted and cut at sampled splitters, to the partition that ranks them, and get the ranks back, so a key that is
-frequent costs one record a task. Splitters are 20 keys a partition.
+frequent costs one record a task. Messages of partition pairs travel together in batches of BATCH bytes, as there are as
+many as the square of the partitions. Splitters are 20 keys a partition.
 
 Defined results: rows with a null doc_id or text take no part; a text shorter than SPAN words has no repeats; repeated
 rows (equal doc_id and text) count once; a doc_id with several texts counts as several documents; repeats within one
@@ -25,7 +26,6 @@ columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import gc
-import io
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,6 +43,7 @@ from tempoloom.llm.tokens import U, Words, mix, words
 SPAN = 50
 GRAM = 16
 SAMPLES = 20
+BATCH = 1 << 22  # bytes of messages that travel in one Arrow batch
 Arrays = dict[str, np.ndarray]
 
 
@@ -102,21 +103,24 @@ def _filesystem(base: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(base) if "://" in base else (pyarrow.fs.LocalFileSystem(), base)
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    out = io.BytesIO()
+def _parts(arrays: list[np.ndarray]) -> Iterator[bytes | np.ndarray]:
+    """Each array behind 16 bytes of its type and length."""
     for a in arrays:
-        np.lib.format.write_array(out, np.ascontiguousarray(a), allow_pickle=False)
-    return out.getvalue()
+        yield a.dtype.str.encode().ljust(8) + len(a).to_bytes(8, "little")
+        yield np.ascontiguousarray(a).view(np.uint8)
+
+
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    return b"".join(_parts(arrays))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     """Arrays that share the memory of data."""
-    x, out = io.BytesIO(data), []
-    while x.tell() < len(data):
-        np.lib.format.read_magic(x)
-        (n,), _, kind = np.lib.format.read_array_header_1_0(x)
-        out.append(np.frombuffer(data, kind, n, x.tell()))
-        x.seek(n * kind.itemsize, 1)
+    at, out = 0, []
+    while at < len(data):
+        kind, n = np.dtype(data[at : at + 8].rstrip().decode()), int.from_bytes(data[at + 8 : at + 16], "little")
+        out.append(np.frombuffer(data, kind, n, at + 16))
+        at += 16 + n * kind.itemsize
     return out
 
 
@@ -145,8 +149,8 @@ def save(base: str, name: str, part: int, arrays: list[np.ndarray]) -> None:
     fs.create_dir(path)
     own = f"{path}/.{uuid.uuid4().hex}"
     with fs.open_output_stream(own, compression="zstd") as out:
-        for a in arrays:
-            np.lib.format.write_array(out, np.ascontiguousarray(a), allow_pickle=False)
+        for x in _parts(arrays):
+            out.write(x)
     try:
         fs.move(own, f"{path}/{part}")
     except OSError:  # another run of the task was first
@@ -170,6 +174,19 @@ def _rows(parts: list[int], frm: list[int], data: list[bytes]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(frm, pa.int32()), pa.array(data, pa.binary())], names=["part", "frm", "data"])
 
 
+def _batched(messages: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Messages (part, frm, data) in batches, as each pair of partitions may have one."""
+    held, size = [], 0
+    for x in messages:
+        held.append(x)
+        size += len(x[2])
+        if size >= BATCH:
+            yield _rows(*map(list, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield _rows(*map(list, zip(*held)))
+
+
 def _saved(part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
 
@@ -213,16 +230,18 @@ def distinct(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _cuts(fields: list[np.ndarray], splitters: list[tuple]) -> list[int]:
     """Where sorted keys are cut so that each piece lies between two splitters."""
-    out, n = [], len(fields[0])
-    for s in splitters:
-        low, high = out[-1] if out else 0, n
-        for f, x in zip(fields, s):
-            part = f[low:high]
-            low, high = low + int(np.searchsorted(part, f.dtype.type(x), "left")), low + int(np.searchsorted(part, f.dtype.type(x), "right"))
-            if low == high:
+    if not splitters:
+        return []
+    by = [np.array(x, U).astype(f.dtype) for f, x in zip(fields, zip(*splitters))]
+    low, high = (np.searchsorted(fields[0], by[0], side) for side in ("left", "right"))
+    for i in np.flatnonzero(low < high).tolist() if len(by) > 1 else ():
+        a, b = int(low[i]), int(high[i])
+        for f, x in zip(fields[1:], by[1:]):
+            a, b = (a + int(np.searchsorted(f[a:b], x[i], side)) for side in ("left", "right"))
+            if a == b:
                 break
-        out.append(low)
-    return out
+        low[i] = a
+    return low.tolist()
 
 
 def ranked(
@@ -258,18 +277,18 @@ def ranked(
         so_far += w
     shared = store.spark.sparkContext.broadcast(splitters)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         for p in (x for b in batches for x in b.column(0).to_pylist()):
             fields = load(base, f"{name}-keys", p)
             if not fields:
-                yield _rows([p], [-1], [b""])
+                yield p, -1, b""
                 continue
             cuts = [0, *_cuts(fields[:by], shared.value), len(fields[0])]
             for q, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
-                    yield _rows([q], [p], [_pack([f[a:b] for f in fields])])
+                    yield q, p, _pack([f[a:b] for f in fields])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answers_to(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         got = _received(batches)
         q = TaskContext.get().partitionId()
         got.pop(-1, None)
@@ -279,7 +298,7 @@ def ranked(
             out, at = rank(fields, q), 0
             for f in frm:
                 m = len(got[f][0])
-                yield _rows([f], [q], [_pack([x[at : at + m] for x in out])])
+                yield f, q, _pack([x[at : at + m] for x in out])
                 at += m
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +309,8 @@ def ranked(
         save(base, name, p, use(p, place, answers, kept))
         yield _saved(p)
 
-    sent = store.each().mapInArrow(send, MESSAGE).repartitionById(n, F.col("part"))
-    back = sent.mapInArrow(answer, MESSAGE).repartitionById(n, F.col("part"))
+    sent = store.each().mapInArrow(lambda batches: _batched(pieces(batches)), MESSAGE).repartitionById(n, F.col("part"))
+    back = sent.mapInArrow(lambda batches: _batched(answers_to(batches)), MESSAGE).repartitionById(n, F.col("part"))
     back.mapInArrow(receive, "part int").write.format("noop").mode("overwrite").save()
     del sent, back
     store.clear([f"{name}-keys", f"{name}-places"])

@@ -87,3 +87,22 @@ def test_odd_rows(spark):
     assert {x[0] for x in got} == {5, 6, 7, 8}
     assert (5, 1, 60, 4) in got and (8, 1, 60, 4) in got
     assert S.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_messages_of_many_partitions_travel_together():
+    arrays = [np.arange(3, dtype=np.uint64), np.arange(2, dtype=np.uint8), np.empty(0, np.int64), np.arange(5, dtype=np.uint32)]
+    data = S._pack(arrays)
+    assert [(a.dtype, a.tolist()) for a in S._unpack(data)] == [(a.dtype, a.tolist()) for a in arrays]
+    batches = list(S._batched((q, 7, data) for q in range(5000)))
+    assert len(batches) == 1 and batches[0].column(0).to_pylist() == list(range(5000)) and batches[0].column(2)[4999].as_py() == data
+    assert len(list(S._batched((0, 0, bytes(S.BATCH)) for _ in range(3)))) == 3 and not list(S._batched(iter(())))
+
+
+def test_cuts_between_splitters():
+    g = random.Random(2)
+    for by in (1, 2):
+        for kind in (np.uint32, np.uint64):
+            keys = sorted(tuple(g.choice([0, 1, 5, 9, 2**32 - 1]) for _ in range(by)) for _ in range(60))
+            splitters = sorted({tuple(g.choice([0, 1, 4, 5, 2**32 - 1]) for _ in range(by)) for _ in range(12)})
+            assert S._cuts([np.array(f, kind) for f in zip(*keys)], splitters) == [sum(k < s for k in keys) for s in splitters]
+    assert S._cuts([np.arange(3, dtype=np.uint64)], []) == []
