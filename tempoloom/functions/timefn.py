@@ -12,8 +12,9 @@ MONTH = r"^[0-9]{4}-(0[1-9]|1[0-2])$"
 UNKNOWN = "TIME_UNKNOWN"
 NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _YEAR = "(?:19|20)[0-9]{2}"
-#: Quarters, days, months, named months (also cut to three letters) and years from 1900 to 2099, of whole numbers only.
-IN_TEXT = rf"(?i)(?<![0-9])({_YEAR}[ _-]?Q[1-4]|Q[1-4][\s_-]*{_YEAR}|{_YEAR}-[0-9]{{2}}-[0-9]{{2}}|{_YEAR}-[0-9]{{2}}|(?<![a-z])(?:{'|'.join([*NAMES, *(n[:3] for n in NAMES)])})[\s_-]*{_YEAR}|{_YEAR})(?![0-9])"
+#: Quarters, days, months and named months (also cut to three letters) of the years from 1900 to 2099, and bare years, of whole numbers only.
+IN_TEXT = rf"(?i)(?<![0-9])({_YEAR}[ _-]?Q[1-4]|Q[1-4][\s_-]*{_YEAR}|{_YEAR}-[0-9]{{2}}-[0-9]{{2}}|{_YEAR}-[0-9]{{2}}|(?<![a-z])(?:{'|'.join([*NAMES, *(n[:3] for n in NAMES)])})[\s_-]*{_YEAR})(?![0-9])"
+YEAR_IN_TEXT = rf"(?<![0-9])({_YEAR})(?![0-9])"
 
 
 def parse_month(c: Column) -> Column:
@@ -67,8 +68,11 @@ def suffix(date: Column) -> Column:
 
 
 def find_time(path: Column, content: Column, head: int = 1000) -> Column:
-    """The first time in the path, else in the first characters of the content, else UNKNOWN; without spaces, quarters year first."""
-    got = F.coalesce(F.nullif(F.regexp_extract(path, IN_TEXT, 1), F.lit("")), F.nullif(F.regexp_extract(F.substring(content, 1, head), IN_TEXT, 1), F.lit("")), F.lit("UNKNOWN"))
+    """The first time in the path, else in the first characters of the content, else UNKNOWN; without spaces, quarters year first.
+
+    A bare year, which may as well be a number of another kind, counts only where its text has nothing more exact."""
+    each = [F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")) for text in (path, F.substring(content, 1, head)) for pattern in (IN_TEXT, YEAR_IN_TEXT)]
+    got = F.coalesce(*each, F.lit("UNKNOWN"))
     tight = F.regexp_replace(got, r"[\s_]", "")
     return F.regexp_replace(tight, "(?i)^(Q[1-4])-?([0-9]{4})$", "$2$1")
 

@@ -68,3 +68,10 @@ def test_windows_cover_the_text_and_end(spark):
     assert one_[0] + "".join(x[200:] for x in one_[1:]) == text and [r.doc_id for r in got].count(2) == 1 and {r.doc_id for r in got} == {1, 2}
     words = spark.createDataFrame([(1, " ".join(map(str, range(1000))))], "doc_id long, text string")
     assert chunking.token_windows(words, 400, 100).count() == 3
+
+
+def test_numbers_like_years_before_the_time(spark):
+    names = {"rep_1900_2024-05.txt": "2024-05", "rep_2099_2024-12.MD": "2024-12", "1999 2024Q1.md": "2024Q1", "item 2001, March 2020": "March2020", "rep_1950_x.txt": "1950", "rep_1900_x_1951": "1900", "12345": "UNKNOWN"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.t for r in df.select("n", timefn.find_time(F.col("n"), F.lit("")).alias("t")).collect()} == names
+    assert {r.n: r.t for r in df.select("n", timefn.find_time(F.lit("notes"), F.col("n")).alias("t")).collect()} == names
