@@ -103,3 +103,33 @@ def neighbors(listed: DataFrame, centroids: list[list[float]], k: int, probes: i
     found = asked.groupBy("c", "p", "b").cogroup(member.groupBy("c", "p", "b")).applyInArrow(nearest, f"{key} {type_}, neighbor {type_}, score double")
     best = found.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "neighbor"))), 1, k).alias("best"))
     return best.select(key, F.posexplode("best").alias("place", "x")).select(key, "x.neighbor", "x.score", "place")
+
+
+def pair_similarity(vectors: DataFrame, by: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(by, pairs, mean): number and mean cosine of all pairs within a group whose keys differ, without making the pairs.
+
+    Twice the cosines of a group's pairs are the square of its unit vectors' sum less their own squares. Vectors that are null,
+    have null elements or differ in length have no cosine: such pairs count, but aren't in the mean. Zero vectors' cosines are 0.
+    """
+    own = vectors.filter(F.col(by).isNotNull() & F.col(key).isNotNull()).select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"), V.norm(F.col(vector)).alias("norm"))
+    own = own.withColumn("dim", F.when(F.col("norm").isNotNull(), F.size("v")))
+    twice = own.groupBy("g", "k").agg(F.count("*").alias("n")).filter("n > 1")
+    copies = own.join(twice.select("g", "k"), ["g", "k"], "left_semi")
+
+    def counted(df: DataFrame, keys: list[str], what: str, sign: int) -> DataFrame:
+        got = df.groupBy(*keys).agg(F.count("*").alias("n")).select("g", (sign * F.col("n") * (F.col("n") - 1)).alias("v"))
+        return got.select("g", *[(F.col("v") if c == what else F.lit(0)).cast("long").alias(c) for c in ("pairs", "compared")], F.lit(0.0).alias("cosines"))
+
+    def summed(df: DataFrame, keys: list[str], sign: int) -> DataFrame:
+        got = df.select(*keys, "norm", F.posexplode("v").alias("at", "x")).withColumn("x", F.col("x") / F.col("norm")).groupBy(*keys, "at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+        return got.select("g", F.lit(0).cast("long").alias("pairs"), F.lit(0).cast("long").alias("compared"), (sign * (F.col("s") * F.col("s") - F.col("q"))).alias("cosines"))
+
+    parts = []
+    for df, keys, sign in ((own, ["g"], 1), (copies, ["g", "k"], -1)):
+        there, long = df.filter("norm is not null"), df.filter("norm > 0")
+        parts += [counted(df, keys, "pairs", sign), counted(there, keys, "compared", sign), counted(long, keys, "compared", -sign), counted(long, [*keys, "dim"], "compared", sign), summed(long, [*keys, "dim"], sign)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    out = out.groupBy("g").agg(F.sum("pairs").alias("pairs"), F.sum("compared").alias("compared"), F.sum("cosines").alias("cosines")).filter("pairs > 0")
+    return out.select(F.col("g").alias(by), F.expr("pairs div 2").alias("pairs"), (F.col("cosines") / F.nullif("compared", F.lit(0))).alias("mean"))

@@ -428,9 +428,7 @@ def vector_stats(spark, sf_dir):
 
 @query("SELECT a.label, count(*) AS pairs, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
 def pairwise_label_similarity(spark, sf_dir):
-    a = t(spark, sf_dir, "embeddings")
-    b = a.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e2"))
-    return a.join(b, "label").filter("vec_id < other").groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.avg(vectorfn.cosine(F.col("embedding"), F.col("e2"))), 6).alias("mean"))
+    return knn.pair_similarity(t(spark, sf_dir, "embeddings"), "label").withColumn("mean", F.round("mean", 6))
 
 
 # --- search

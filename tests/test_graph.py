@@ -221,3 +221,18 @@ def test_every_node_has_its_component(spark, monkeypatch):
         top[high] = low
     got = {r.node_id: r.component for r in queries.QUERIES["components_of_all_nodes"](spark, "").collect()}
     assert got == {i: find(i) for i in ids} and len(set(got.values())) > 1
+
+
+def test_pair_similarity_makes_no_pairs_and_equals_the_join(spark):
+    from tempoloom.functions import vectorfn
+
+    g = np.random.default_rng(4)
+    odd = [(1, 0, [0.0, 0.0]), (2, 0, None), (3, 0, [1.0, None]), (4, 0, [1.0, 2.0, 3.0]), (5, 0, [2.0, 2.0, 1.0]), (6, 9, [1.0, 1.0]), (7, 8, None), (8, 8, [1.0, 1.0]), (9, 7, []), (10, 7, [])]
+    rows = odd + [(None, 0, [1.0, 1.0]), (11, None, [1.0, 1.0])] + [(int(g.integers(20, 60)), int(g.integers(0, 3)), g.normal(size=2).tolist()) for _ in range(120)]
+    a = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    b = a.toDF("other", "label", "e2")
+    want = a.join(b, "label").filter("vec_id < other").groupBy("label").agg(F.count("*").alias("pairs"), F.avg(vectorfn.cosine(F.col("embedding"), F.col("e2"))).alias("mean"))
+    got = knn.pair_similarity(a, "label")
+    rows = lambda n: knn.pair_similarity(spark.range(n).selectExpr("id as vec_id", "1 as label", "array(1f, 2f) as embedding"), "label").first()
+    assert tuple(rows(1_000_000)) == (1, 499_999_500_000, pytest.approx(1.0))  # no pairs are made
+    assert {r.label: (r.pairs, pytest.approx(r.mean) if r.mean is not None else None) for r in want.collect()} == {r.label: (r.pairs, r.mean) for r in got.collect()}
