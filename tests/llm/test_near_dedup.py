@@ -151,3 +151,23 @@ def test_similar_multisets_share_a_token_of_their_prefixes():
             x, y = (N.prefix(N._tokens(v), count) for v in (a, b))
             assert len(np.intersect1d(x, y))
         assert len(set(N._tokens(a).tolist())) == len(a)
+
+
+def test_what_the_driver_holds_is_bounded_and_large_joins_shuffle_few_rows(spark, monkeypatch):
+    assert C.BROADCAST_ROWS <= 100_000 and C.SMALL_EDGES <= 200_000
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(C, "FILTER_BITS", 1 << 16)
+    big = spark.createDataFrame([(i if i % 50 else None, f"t{i}", i) for i in range(3000)], "doc_id long, text string, _bucket long")
+    small = C.checkpoint(spark.createDataFrame([(i,) for i in range(0, 3000, 7)] + [(None,)], "doc_id long"))
+    inside = {i for i in range(3000) if i % 50 == 0 or i % 7 == 0}
+    for how, want in (("left_semi", inside), ("left_anti", set(range(3000)) - inside)):
+        got = C.checked_join(big, small, ["doc_id"], how)
+        assert got.columns == big.columns and sorted(r._bucket for r in got.collect()) == sorted(want)
+
+
+def test_components_grow_by_what_is_new(spark):
+    g = random.Random(8)
+    first, more = ([(g.randrange(80), g.randrange(80, 160)) for _ in range(n)] for n in (40, 50))
+    of = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    got = C.merged_components(C.components(of(first)), of(more))
+    assert {r.id: r.comp for r in got.collect()} == union(first + more)
